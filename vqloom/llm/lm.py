@@ -35,7 +35,7 @@ from .common import cut, fold_bucket, whole_text
 FEATURES = 1 << 15
 FREQUENT, HASHED = 15, 8
 COMMON = 100_000
-ROUNDS, BATCH, RATE = 1, 8192, 0.5
+ROUNDS, BATCH, RATE = 1, 1024, 0.5
 BLOCKS = 16
 FLUSH = 200_000
 #: No word starts with white space, so this stands for the end.

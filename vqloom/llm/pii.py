@@ -67,17 +67,30 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, found: Column, parts: Column, kind: str) -> Column:
-    """Structs of start, end, found, before for each match: the parts between matches give the offsets."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(parts, i))
-        end = start + F.length(F.get(found, i))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
+def _spans(text: Column, found: Column, pattern: str) -> Column:
+    """Structs of start, end, found for each match. The lengths of the parts between matches, summed over blocks of
+    the root of their number, give the offsets."""
+    size = lambda items: F.aggregate(items, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"])
+    total = lambda sums: F.aggregate(sums, F.lit(0), lambda acc, x: acc + x)
+    cells = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("len"), f.alias("found")))
+
+    def placed(cells: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(cells))).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / step).cast("int")), lambda j: size(F.slice(cells, j * step + 1, step)))
+
+        def one(sums: Column, x: Column, k: Column) -> Column:
+            block = F.floor(k / step).cast("int")
+            start = total(F.slice(sums, F.lit(1), block)) + size(F.slice(cells, block * step + 1, k - block * step)) + x["gap"]
+            return F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["found"].alias("found"))
+
+        return _bind(sums, lambda sums: F.transform(cells, lambda x, k: one(sums, x, k)))
+
+    return _bind(cells, placed)
 
 
 def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
@@ -95,8 +108,7 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
         may = F.size(found) > 0
         if kind in ("card", "iban"):
             may &= F.exists(found, lambda x: F.length(x).between(12, 60))
-        parts = F.split("_vq_text", PATTERNS[kind], -1)
-        out = out.withColumn(f"_vq_{kind}", F.when(may, _spans(F.col("_vq_text"), found, parts, kind)))
+        out = out.withColumn(f"_vq_{kind}", F.when(may, _spans(F.col("_vq_text"), found, PATTERNS[kind])))
     for kind in PATTERNS:
 
         def scored(span: Column) -> Column:  # noqa: B023
