@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from .common import SPACE, shared_path, whole_text
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Digests of repeated texts that are broadcast at most (about 10 MB).
+FEW_HITS = 100_000
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -68,18 +71,19 @@ def digest_state(stream: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def exact_dedup(docs: DataFrame, state: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`, checked byte by byte against the others of its digest."""
-    norm = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
-    keyed = norm.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"))
+    norm = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256))
     hits = state.where("group_size > 1").select("digest")
-    pairs = norm.withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(hits, "digest", "left_semi")
-    mixed = pairs.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
-    plain = keyed.join(state.select("digest", "keep_id", "group_size"), "digest").join(mixed, "digest", "left_anti")
-    # Texts that share a digest but not their bytes are grouped by the bytes.
-    apart = norm.withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(mixed, "digest", "left_semi")
-    own = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    clashing = apart.join(own, ["digest", "norm"]).select(*plain.columns)
-    out = plain.unionByName(clashing)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    # Few hits keep the other texts out of the shuffle; many are met by a join on the digest.
+    few = hits.limit(FEW_HITS + 1).count() <= FEW_HITS
+    met = norm.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+    mixed = [r["digest"] for r in met.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest").toLocalIterator()]
+    plain = norm.select("doc_id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
+    if mixed:
+        # Texts that share a SHA-256 but not their bytes: there is no known pair, so this list is short; they are grouped by the bytes.
+        apart = norm.where(F.col("digest").isin(mixed))
+        own = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        plain = plain.where(~F.col("digest").isin(mixed)).unionByName(apart.join(own, ["digest", "norm"]).select(*plain.columns))
+    return plain.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def documents_stream(spark: SparkSession, path: str) -> DataFrame:
