@@ -12,7 +12,7 @@ length), so lines whose halves occur once have no partner and emit no variants.
 
 Defined results: blank lines always stay; shorter lines fall only to equal ones; a null text has no lines and stays null;
 rows that repeat both doc_id and text are one document and get the same answer; null ids sort last. Words are split by
-single spaces. Lines are identified by 128 hashed bits.
+single spaces. Lines are identified by 128 hashed bits, prefilters work on 64 of them (a clash only adds candidates).
 """
 
 from __future__ import annotations
@@ -20,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import sized, stored, whole_text
 
 LEAST = 5
+#: Tables of at most so many short rows are broadcast.
+FEW = 500_000
+CHANGED, LONGER, WHOLE = 0, 1, 2
+RANK = ("no_id", "doc_id", "text_hash", "line_no")
 
 
 def _line_id(line: Column) -> Column:
@@ -34,8 +38,7 @@ def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """Every non-blank line: rank (null ids last, doc_id, text hash, line number) and line."""
     whole = whole_text(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
-    return rows.where(F.trim("line") != "").select(rank.alias("rank"), "line")
+    return rows.where(F.trim("line") != "").withColumn("no_id", F.col("doc_id").isNull()).select(F.struct(*RANK).alias("rank"), "line")
 
 
 def _words(line: Column) -> Column:
@@ -70,44 +73,58 @@ def _within_one(a: Column, b: Column) -> Column:
     return run(False) + run(True) >= longest - 1
 
 
-def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """The lines to drop: rank (struct) of each."""
-    lines = lines_of(docs, text, doc_id)
+def line_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """The rank, hashed identity (a, b) and half keys of every non-blank line, stored: the one pass over all text."""
+    n = F.size("w")
+    keyed = lines_of(docs, text, doc_id).select("rank", _line_id(F.col("line")).alias("id"), _words(F.col("line")).alias("w"))
+    return stored(keyed.select("rank.*", "id.*", F.when(n >= least, F.array_distinct(_halves(F.col("w"), n))).alias("halves")), "lines")
+
+
+def _near_lines(docs: DataFrame, index: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """a, b of the distinct lines that have an earlier one within one word edit."""
+    half = index.where("halves is not null").select("a", F.explode("halves").alias("half"))
+    # Repeated lines fold in the aggregate, so a very common line is one row.
+    shared = sized(stored(half.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("half"), "halves"), FEW)
+    rivals = sized(stored(half.join(shared, "half", "left_semi").select("a").distinct(), "rivals"), FEW)
+    firsts = sized(stored(index.join(rivals, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("rank")), "firsts"), FEW)
+    texts = stored(lines_of(docs, text, doc_id).join(firsts, "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"), F.min("line").alias("line")), "rival-lines")
+    split = texts.select("a", _words(F.col("line")).alias("w"))
     n = F.size("w")
-    keyed = lines.select("rank", _line_id(F.col("line")).alias("id"), _words(F.col("line")).alias("w"))
-    # Repeated lines fold here, so a very common line is one row from now on.
-    half = keyed.where(n >= least).select("id", F.explode(F.array_distinct(_halves(F.col("w"), n))).alias("half")).distinct()
-    shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    rivals = half.join(shared, "half").select("id").distinct()
-    # The lines that may have a partner, with their first rank and their words.
-    texts = cut(keyed.join(rivals, "id").groupBy("id").agg(F.min("rank").alias("rank"), F.any_value("w").alias("w")))
     holes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(_without(F.col("w"), n, i)).alias("variant"), i.alias("at")))
-    spots = texts.select("id", "rank", n.alias("n"), F.explode(holes).alias("hole"))
-    changed = spots.select("id", "rank", F.lit("changed").alias("kind"), F.xxhash64(F.lit("changed"), "n", "hole.at", "hole.variant").alias("key"))
-    longer = spots.select("id", "rank", F.lit("longer").alias("kind"), F.xxhash64(F.lit("gone"), F.col("n") - 1, "hole.variant").alias("key"))
-    whole = texts.select("id", "rank", F.lit("whole").alias("kind"), F.xxhash64(F.lit("gone"), n, F.xxhash64("w")).alias("key"))
+    spots = split.select("a", n.alias("n"), F.explode(holes).alias("hole"))
+    kind = lambda k: F.lit(k).cast("byte").alias("kind")
+    changed = spots.select("a", kind(CHANGED), F.xxhash64(F.lit(CHANGED), "n", "hole.at", "hole.variant").alias("key"))
+    longer = spots.select("a", kind(LONGER), F.xxhash64(F.lit(LONGER), F.col("n") - 1, "hole.variant").alias("key"))
+    whole = split.select("a", kind(WHOLE), F.xxhash64(F.lit(LONGER), n, F.xxhash64("w")).alias("key"))
     keys = changed.unionByName(longer).unionByName(whole)
+    met = sized(stored(keys.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "variants"), FEW)
+    line = texts.select("a", "b", "rank")
+    there = keys.join(met, "key", "left_semi").distinct().join(line, "a")
     # The earliest line on each side of a key: a changed word makes one side, a missing one two.
-    sides = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") != "whole", F.struct("rank", "id"))).alias("early"),
-        F.min(F.when(F.col("kind") == "whole", F.struct("rank", "id"))).alias("bare"),
-        F.count("*").alias("c"),
-    ).where("c > 1").drop("c")
-    met = keys.join(sides, "key").select("id", "rank", F.when(F.col("kind") == "longer", F.col("bare")).otherwise(F.col("early")).alias("other"))
-    pairs = met.where(F.col("other").isNotNull() & (F.col("other.rank") < F.col("rank"))).select("id", F.col("other.id").alias("other")).distinct()
-    sought = pairs.join(texts.select("id", "w"), "id").join(texts.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
-    near = sought.where(_within_one(F.col("w"), F.col("v"))).select("id").distinct()
+    who = F.struct("rank", "a", "b")
+    sides = there.groupBy("key").agg(F.min(F.when(F.col("kind") != WHOLE, who)).alias("early"), F.min(F.when(F.col("kind") == WHOLE, who)).alias("bare"))
+    other = F.when(F.col("kind") == LONGER, F.col("bare")).otherwise(F.col("early"))
+    pairs = there.join(sides, "key").select("a", "b", "rank", other.alias("other")).where("other.rank < rank").select("a", "b", F.col("other.a").alias("oa"), F.col("other.b").alias("ob")).distinct()
+    own = texts.select("a", "b", _words(F.col("line")).alias("w"))
+    sought = pairs.join(own, ["a", "b"]).join(own.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("w").alias("v")), ["oa", "ob"])
+    return sought.where(_within_one(F.col("w"), F.col("v"))).select("a", "b").distinct()
+
+
+def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """The lines to drop: rank (struct) of each."""
+    index = line_index(docs, text, doc_id, least)
+    near = _near_lines(docs, index, text, doc_id).withColumn("near", F.lit(True))
     # Every occurrence of such a line goes; of a line that merely repeats, all but the first.
-    again = keyed.groupBy("id").agg(F.min("rank").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("id", "first")
-    fate = near.withColumn("near", F.lit(True)).join(again, "id", "full")
-    ranked = keyed.select("rank", "id")
-    return ranked.join(fate, "id").where(F.col("near").isNotNull() | (F.col("rank") != F.col("first"))).select("rank")
+    again = index.groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("a", "b", "first")
+    fate = near.join(again, ["a", "b"], "full")
+    return index.select(F.struct(*RANK).alias("rank"), "a", "b").join(fate, ["a", "b"]).where(F.col("near").isNotNull() | (F.col("rank") != F.col("first"))).select("rank")
 
 
 def _dropped(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
     """One row for each document that loses lines: its key and the sorted line numbers."""
     gone = duplicate_lines(docs, text, doc_id, least).distinct()
-    return gone.groupBy(F.col("rank.doc_id").alias("_vq_id"), F.col("rank.text_hash").alias("_vq_hash")).agg(F.array_sort(F.collect_list("rank.line_no")).alias("_vq_gone"))
+    by_doc = gone.groupBy(F.col("rank.doc_id").alias("_vq_id"), F.col("rank.text_hash").alias("_vq_hash")).agg(F.array_sort(F.collect_list("rank.line_no")).alias("_vq_gone"))
+    return sized(stored(by_doc, "dropped"), FEW // 5)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
