@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,13 @@ from pyspark.sql import functions as F
 from .common import cut, fold_bucket, whole_text
 
 FEATURES = 1 << 15
-FREQUENT, HASHED = 15, 8
+FREQUENT, HASHED = 11, 4
 COMMON = 100_000
 ROUNDS, BATCH, RATE = 1, 1024, 0.5
+LIMIT = 20.0
 BLOCKS = 16
+#: Tokens scored at once.
+WIDE = 8192
 FLUSH = 200_000
 #: No word starts with white space, so this stands for the end.
 END = b"\n"
@@ -114,7 +118,7 @@ class Reader:
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Numbers (-1: not common), classes, hashes, and the words that are not common."""
         words, get = tokens(text), self.number.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         cls, h = self.cls[at], self.h[at]
         out = np.flatnonzero(at < 0)
         if not len(out):
@@ -139,24 +143,30 @@ def slots(h: np.ndarray) -> np.ndarray:
     return np.stack([top(last, 1), top(skip, 2), top(both, 3)]).astype(np.uint16 if FEATURES <= 1 << 16 else np.int64)
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of bounded weights (LIMIT each), so that no exponential overflows."""
     z = weights[rows[0]]
     for f in rows[1:]:
         z += weights[f]
     z += weights[0]
-    z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = logits(weights, rows)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
 def step(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One sparse Adagrad step in place: only rows of features that occur are touched."""
-    g = np.exp(log_softmax(weights, rows))
+    g = np.exp(logits(weights, rows))
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(classes)), classes] -= 1
 
     def move(at, total) -> None:
         scale[at] += np.einsum("ij,ij->i", total, total)
-        weights[at] -= RATE * total / np.sqrt(scale[at] + 1.0)[:, None]
+        weights[at] = np.clip(weights[at] - RATE * total / np.sqrt(scale[at] + 1.0)[:, None], -LIMIT, LIMIT)
 
     move(np.array([0]), g.sum(axis=0, keepdims=True))
     for f in rows:
@@ -238,9 +248,10 @@ def scored_parts(docs: DataFrame, weights: np.ndarray, vocabulary: Vocabulary) -
                 doc, key = ids[i].as_py(), hashes[i].as_py()
                 at, cls, h, odd = reader.read(texts[i].as_py())
                 grid, total = slots(h), 0.0
-                for lo in range(0, len(cls), BATCH):
-                    z = log_softmax(weights, grid[:, lo : lo + BATCH])
-                    total += float(z[np.arange(len(z)), cls[lo : lo + BATCH]].sum(dtype=np.float64))
+                for lo in range(0, len(cls), WIDE):
+                    z = logits(weights, grid[:, lo : lo + WIDE])
+                    own = z[np.arange(len(z)), cls[lo : lo + WIDE]]
+                    total += float((own - np.log(np.exp(z).sum(axis=1))).sum(dtype=np.float64))
                 own = at[at >= 0]
                 rows.append((doc, key, END + key.to_bytes(8, "big", signed=True), 0, len(at), int(reader.known[own].sum()), float(reader.base[own].sum()), float(reader.inner[own].sum()) + total / ln10))
                 rows += [(doc, key, w, c, 0, 0, 0.0, 0.0) for w, c in Counter(odd).items()]
@@ -253,13 +264,30 @@ def scored_parts(docs: DataFrame, weights: np.ndarray, vocabulary: Vocabulary) -
     return docs.select("doc_id", "text_hash", "t").mapInArrow(run, "doc_id long, text_hash long, word binary, tf long, n long, n_known long, base double, inner double")
 
 
+def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most `most`, the FREQUENT first ones and the end token in any case; by count, then word.
+
+    A histogram of rounded logarithms of the counts gives the least count that keeps to the bound, so only words that are kept travel.
+    """
+    grade = F.floor(F.log2("c") * 16).cast("int")
+    left, least = most, None
+    for r in sorted(counts.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["grade"]
+    wanted = F.col("word") == F.lit(END)
+    rows = counts.where(wanted if least is None else wanted | (grade >= least)).collect()
+    rows += counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    return sorted({(bytes(r["word"]), r["c"]) for r in rows}, key=lambda x: (-x[1], x[0]))
+
+
 def op10_lm(docs: DataFrame, rounds: int = ROUNDS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("t"))
     train = docs.where(fold_bucket(F.col("doc_id"), 7) != 2)
     counts = cut(word_counts(train))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(common).collect()]
+    top = common_words(counts, common)
     frequent = Vocabulary(top, 0, 0, [(0, 0)] * HASHED).frequent
     tail = counts.where(~F.col("word").isin([F.lit(w) for w in frequent]))
     found = {r["k"]: (r["n"], r["v"]) for r in tail.groupBy(hashed_class(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
