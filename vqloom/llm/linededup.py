@@ -17,7 +17,7 @@ single spaces. Lines are identified by 128 hashed bits, prefilters work on 64 of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized, stored, whole_text
@@ -55,8 +55,26 @@ def _halves(words: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _without(words: Column, n: Column, i: Column) -> Column:
-    return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n - i))
+def _variants(texts: DataFrame) -> DataFrame:
+    """a, kind, key: the neighbourhood of every line (a, line).
+
+    A word sequence is hashed as two sums of 32-bit hashes of its (position, word) pairs, so the hash of a line without word i is
+    the running sum before i plus the sum behind i with all positions one less: each variant costs the same, however long the line.
+    """
+    words = texts.select("a", F.posexplode(_words(F.col("line"))).alias("i", "word")).repartition("a")
+    order = Window.partitionBy("a").orderBy("i")
+    before, upto, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("a")
+    here, back = F.xxhash64("i", "word"), F.xxhash64(F.col("i") - 1, "word")
+    lanes = words.select("a", "i", *[f(h).alias(f"{name}{k}") for name, h in (("here", here), ("back", back)) for k, f in enumerate((lambda x: x.bitwiseAND(0xFFFFFFFF), lambda x: F.shiftrightunsigned(x, 32)))])
+    rest = [F.coalesce(F.sum(f"here{k}").over(before), F.lit(0)) + F.sum(f"back{k}").over(all_) - F.sum(f"back{k}").over(upto) for k in (0, 1)]
+    full = [F.sum(f"here{k}").over(upto) for k in (0, 1)]
+    sums = lanes.select("a", "i", F.count("*").over(all_).alias("n"), *[x.alias(f"rest{k}") for k, x in enumerate(rest)], *[x.alias(f"full{k}") for k, x in enumerate(full)])
+    kinds = F.array(
+        F.struct(F.lit(CHANGED).cast("byte").alias("kind"), F.xxhash64(F.lit(CHANGED), "n", "i", "rest0", "rest1").alias("key")),
+        F.struct(F.lit(LONGER).cast("byte").alias("kind"), F.xxhash64(F.lit(LONGER), F.col("n") - 1, "rest0", "rest1").alias("key")),
+        F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(WHOLE).cast("byte").alias("kind"), F.xxhash64(F.lit(LONGER), "n", "full0", "full1").alias("key"))),
+    )
+    return sums.select("a", F.explode(kinds).alias("k")).where("k is not null").select("a", "k.kind", "k.key")
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -88,15 +106,7 @@ def _near_lines(docs: DataFrame, index: DataFrame, text: str, doc_id: str) -> Da
     rivals = sized(stored(half.join(shared, "half", "left_semi").select("a").distinct(), "rivals"), FEW)
     firsts = sized(stored(index.join(rivals, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("rank")), "firsts"), FEW)
     texts = stored(lines_of(docs, text, doc_id).join(firsts, "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"), F.min("line").alias("line")), "rival-lines")
-    split = texts.select("a", _words(F.col("line")).alias("w"))
-    n = F.size("w")
-    holes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(_without(F.col("w"), n, i)).alias("variant"), i.alias("at")))
-    spots = split.select("a", n.alias("n"), F.explode(holes).alias("hole"))
-    kind = lambda k: F.lit(k).cast("byte").alias("kind")
-    changed = spots.select("a", kind(CHANGED), F.xxhash64(F.lit(CHANGED), "n", "hole.at", "hole.variant").alias("key"))
-    longer = spots.select("a", kind(LONGER), F.xxhash64(F.lit(LONGER), F.col("n") - 1, "hole.variant").alias("key"))
-    whole = split.select("a", kind(WHOLE), F.xxhash64(F.lit(LONGER), n, F.xxhash64("w")).alias("key"))
-    keys = changed.unionByName(longer).unionByName(whole)
+    keys = _variants(texts)
     met = sized(stored(keys.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "variants"), FEW)
     line = texts.select("a", "b", "rank")
     there = keys.join(met, "key", "left_semi").distinct().join(line, "a")
@@ -124,7 +134,7 @@ def _dropped(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
     """One row for each document that loses lines: its key and the sorted line numbers."""
     gone = duplicate_lines(docs, text, doc_id, least).distinct()
     by_doc = gone.groupBy(F.col("rank.doc_id").alias("_vq_id"), F.col("rank.text_hash").alias("_vq_hash")).agg(F.array_sort(F.collect_list("rank.line_no")).alias("_vq_gone"))
-    return sized(stored(by_doc, "dropped"), FEW // 5)
+    return sized(stored(by_doc, "dropped"), FEW)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
