@@ -86,7 +86,7 @@ def spectrum(px: DataFrame, centred: bool = True) -> DataFrame:
         p = v / v.sum() if v.sum() else v
         return pd.DataFrame({"idx": np.arange(c), "singular": np.sqrt(v), "share": p, "cumulative": np.cumsum(p)})
 
-    return cells.select("i", "j", g.alias("g")).groupBy(F.lit(0)).applyInPandas(eig, "idx long, singular double, share double, cumulative double")
+    return cells.select(F.lit(0).alias("one"), "i", "j", g.alias("g")).groupBy("one").applyInPandas(eig, "idx long, singular double, share double, cumulative double")
 
 
 def tile_rank(cb: DataFrame) -> DataFrame:
