@@ -27,7 +27,7 @@ def test_random_texts(spark):
     sp, own, r = sentencepiece.SentencePieceProcessor(model_file=piece_model()), S.codec(piece_model()), random.Random(6)
     for _ in range(1500):
         t = "".join(r.choice("ab eeetthinr  \n▁é日́😀\x00\t.,'") for _ in range(r.randint(0, 40)))
-        assert own.ids(t) == own.encode(t)[0] == sp.encode(t)
+        assert own.ids(t).tolist() == own.encode(t)[0] == sp.encode(t)
         assert own.decode(sp.encode(t)) == sp.decode(sp.encode(t))
 
 
@@ -60,3 +60,17 @@ def test_compiled_character_map(tmp_path):
         assert norm.decode() == rules.normalize(t)
         assert len(source) == len(norm) + 1 and source[-1] <= len(t.encode())
         assert own.encode(t)[0] == sp.encode(t)
+
+
+def test_long_chunks_take_the_heap():
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=piece_model()), S.codec(piece_model())
+    for t in ("thequickbrownfox" * 40, "ab" * 200, "\u2581" * 90 + "x", "x" * 65):
+        assert own.encode(t)[0] == own.ids(t).tolist() == sp.encode(t)
+
+
+def test_last_stage(spark):
+    docs = documents(spark)
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    got = sorted(((r["doc_id"], r["source"], tuple(r["ids"]), r["n_tokens"]) for r in S.encoded(docs, piece_model()).collect()), key=str)
+    assert got == sorted(((r["doc_id"], r["source"], tuple(ids := sp.encode(r["text"] or "")), len(ids)) for r in docs.collect()), key=str)
+    assert S.encoded(empty(spark), piece_model()).count() == 0

@@ -14,17 +14,22 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import whole_text
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHE = 300_000
+CACHE = 200_000
+#: Up to this length a list of all neighbours is faster than a heap.
+SHORT = 64
 
 
 class CharMap:
@@ -133,6 +138,8 @@ class Codec:
         """Pieces of normalised text: the best-scored pair merges first, of equal ones the leftmost."""
         parts: list[str] = list(text)
         n, score = len(parts), self.score
+        if n <= SHORT:
+            return self._merge_short(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap: list[tuple[float, int, int, int]] = []
 
@@ -155,6 +162,23 @@ class Codec:
             offer(i, right[i])
         return [p for p in parts if p]
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """The same with the scores of all neighbours in a list."""
+        get, none = self.score.get, float("-inf")
+        pairs = [get(a + b, none) for a, b in pairwise(parts)]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
     def ids_of(self, piece: str) -> list[int]:
         i = self.id.get(piece, self.unknown)
         if i == self.unknown and self.bytes:
@@ -218,13 +242,13 @@ class Codec:
         # The first piece starts with the mark put before the text.
         return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out[1:]).hexdigest()
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if not self.simple:
-            return self.encode(text)[0]
+            return np.array(self.encode(text)[0], np.int32)
         get, make = self.kept.get, self._chunk
-        return [int(i) for c in self.chunks.findall(MARK + text.replace(" ", MARK)) for i in (get(c) or make(c))[0].split(",")]
+        return np.fromstring(",".join([(get(c) or make(c))[0] for c in self.chunks.findall(MARK + text.replace(" ", MARK))]), np.int32, sep=",")
 
 
 @lru_cache(2)
@@ -248,7 +272,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     @F.pandas_udf("array<int>")
     def run(cells: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([np.array(own.ids(t), np.int32) for t in cells], dtype=object)
+        return pd.Series([own.ids(t) for t in cells], dtype=object)
 
     return df.withColumn(into, run(whole_text(text)))
 
@@ -271,7 +295,20 @@ def op5_sentencepiece(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", run(whole_text()).alias("p")).select("doc_id", "p.*")
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, lang where present, ids and n_tokens: the last step of a pipeline."""
+def encoded(docs: DataFrame, path: str, rows: int = 256) -> DataFrame:
+    """doc_id, source, lang where present, ids and n_tokens: the last step of a pipeline. Ids leave a worker `rows` documents at a time."""
     keys = [c for c in ("doc_id", "source", "lang") if c in docs.columns]
-    return with_ids(docs.select(*keys, "text"), path, into="_vq_ids").select(*keys, F.col("_vq_ids").alias("ids"), F.size("_vq_ids").cast("long").alias("n_tokens"))
+    out = StructType([docs.schema[c] for c in keys] + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+
+    def run(batches):
+        own = codec(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = [own.ids(t.as_py()) for t in part.column(len(keys))]
+                lengths = np.array([len(x) for x in ids])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), lists, pa.array(lengths, pa.int64())], [*keys, "ids", "n_tokens"])
+
+    return docs.select(*keys, whole_text().alias("_vq_text")).mapInArrow(run, out)

@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 18
 #: A label sample of this many documents at most fits the weights; everything is scored.
 TRAIN_CAP = 8000
-CACHE = 400_000
+CACHE = 150_000
 
 
 def word_ids(sentence: str) -> list[int]:
