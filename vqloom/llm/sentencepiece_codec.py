@@ -92,6 +92,15 @@ class Codec:
         self.simple = not self.map.units and not self.trim and self.prefix and self.escape and not inner
         self.chunks = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
         self.kept: dict[str, tuple] = {}
+        self.entry: dict[str, tuple] = {}
+
+        def plain(piece: str, kind: int) -> bytes:
+            if kind == 6:
+                return bytes((int(piece[3:5], 16),))
+            return b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else piece.replace(MARK, " ").encode()
+
+        #: What each id decodes to.
+        self.plain = [plain(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """Normalised bytes, and for each of them (and the end) the offset of its source byte."""
@@ -202,22 +211,26 @@ class Codec:
         """Ids as text, their number and the decoded bytes of a chunk."""
         if len(self.kept) > CACHE:
             self.kept.clear()
-        ids = [i for p in self.merge(chunk) for i in self.ids_of(p)]
-        out = self.kept[chunk] = ",".join(map(str, ids)), len(ids), self.raw(ids)
+        get, make = self.entry.get, self._entry
+        found = [get(p) or make(p) for p in self.merge(chunk)]
+        if len(found) == 1:
+            out = found[0]
+        else:
+            out = ",".join([e[0] for e in found]), sum([e[1] for e in found]), b"".join([e[2] for e in found])
+        self.kept[chunk] = out
+        return out
+
+    def _entry(self, piece: str) -> tuple[str, int, bytes]:
+        """Ids as text, number and decoded bytes of one piece; the vocabulary's own are kept for good."""
+        ids = self.ids_of(piece)
+        out = ",".join(map(str, ids)), len(ids), self.raw(ids)
+        if piece in self.score:
+            self.entry[piece] = out
         return out
 
     def raw(self, ids: list[int]) -> bytes:
         """The bytes behind ids, white space unescaped."""
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 6:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == 2:
-                out += " ⁇ ".encode()
-            elif kind != 3:
-                out += self.pieces[i].replace(MARK, " ").encode()
-        return bytes(out)
+        return b"".join([self.plain[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode: ids to text, without the space that encoding puts first."""
