@@ -36,7 +36,7 @@ from .common import cut, fold_bucket, whole_text
 FEATURES = 1 << 15
 FREQUENT, HASHED = 11, 4
 COMMON = 100_000
-ROUNDS, BATCH, RATE = 1, 1024, 0.5
+ROUNDS, BATCH, RATE = 1, 2048, 0.5
 LIMIT = 20.0
 BLOCKS = 16
 #: Tokens scored at once.
@@ -239,27 +239,37 @@ def scored_parts(docs: DataFrame, weights: np.ndarray, vocabulary: Vocabulary) -
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
-        weights, words = sent.value
-        reader, ln10 = Reader(words), math.log(10)
+        weights, vocabulary = sent.value
+        reader, ln10 = Reader(vocabulary), math.log(10)
         for batch in batches:
             ids, hashes, texts = (batch.column(i) for i in range(3))
-            rows = []
-            for i in range(batch.num_rows):
-                doc, key = ids[i].as_py(), hashes[i].as_py()
-                at, cls, h, odd = reader.read(texts[i].as_py())
-                grid, total = slots(h), 0.0
-                for lo in range(0, len(cls), WIDE):
-                    z = logits(weights, grid[:, lo : lo + WIDE])
-                    own = z[np.arange(len(z)), cls[lo : lo + WIDE]]
-                    total += float((own - np.log(np.exp(z).sum(axis=1))).sum(dtype=np.float64))
-                own = at[at >= 0]
-                rows.append((doc, key, END + key.to_bytes(8, "big", signed=True), 0, len(at), int(reader.known[own].sum()), float(reader.base[own].sum()), float(reader.inner[own].sum()) + total / ln10))
-                rows += [(doc, key, w, c, 0, 0, 0.0, 0.0) for w, c in Counter(odd).items()]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for lo in range(0, batch.num_rows, 256):
+                hi = min(lo + 256, batch.num_rows)
+                words, tf, parts, sums = [], [], [], []
+                for i in range(lo, hi):
+                    at, cls, h, odd = reader.read(texts[i].as_py())
+                    grid, total = slots(h), 0.0
+                    for k in range(0, len(cls), WIDE):
+                        z = logits(weights, grid[:, k : k + WIDE])
+                        own = z[np.arange(len(z)), cls[k : k + WIDE]]
+                        total += float((own - np.log(np.exp(z).sum(axis=1))).sum(dtype=np.float64))
+                    own = at[at >= 0]
+                    sums.append((len(at), int(reader.known[own].sum()), float(reader.base[own].sum()), float(reader.inner[own].sum()) + total / ln10))
+                    c = Counter(odd)
+                    words.append(END + hashes[i].as_py().to_bytes(8, "big", signed=True))
+                    tf.append(0)
+                    words += c.keys()
+                    tf += c.values()
+                    parts.append(len(c) + 1)
+                # One row for each document's sums, then one for each of its other words.
+                first = np.cumsum([0, *parts[:-1]])
+                owner = pa.array(np.repeat(np.arange(hi - lo), parts))
+                out = [ids.slice(lo, hi - lo).take(owner), hashes.slice(lo, hi - lo).take(owner), pa.array(words, pa.binary()), pa.array(tf, pa.int64())]
+                for kind, column in zip(kinds[4:], zip(*sums, strict=True), strict=True):
+                    cells = np.zeros(len(words), np.int64 if kind == pa.int64() else np.float64)
+                    cells[first] = column
+                    out.append(pa.array(cells, kind))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select("doc_id", "text_hash", "t").mapInArrow(run, "doc_id long, text_hash long, word binary, tf long, n long, n_known long, base double, inner double")
 
