@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: noisy-or over sentences, trained from document labels.
 
-A document is a bag of sentences. A sentence has the score sigmoid(bias + sum of its distinct words' weights);
+A document is a bag of sentences. A sentence has the score sigmoid(bias + sum of the weights of its distinct words and word beginnings);
 the document is toxic unless no sentence is: 1 - prod(1 - p). Weights come from document labels alone,
 and the same sentence scores then point at the offending sentences.
 
@@ -26,14 +26,22 @@ from .common import fold_bucket, whole_text
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 18
+BEGINNINGS = (3, 5, 7)
 #: A label sample of this many documents at most fits the weights; everything is scored.
 TRAIN_CAP = 8000
 CACHE = 150_000
+#: The bias stays above this; features with log odds over SURE of being in toxic documents only are drawn to a weight that outweighs it.
+LOWEST, SURE = -9.0, 3.0
+
+
+def features(word: str) -> set[int]:
+    """The hashed word, and its hashed beginnings, which words of one family share."""
+    return {zlib.crc32(word.encode()) % DIM, *(zlib.crc32(f"{word[:n]}*".encode()) % DIM for n in BEGINNINGS if len(word) >= n)}
 
 
 def word_ids(sentence: str) -> list[int]:
-    """Distinct hashed words of a lower-cased sentence."""
-    return list({zlib.crc32(w.encode()) % DIM for w in WORD.findall(sentence)})
+    """Distinct features of a lower-cased sentence."""
+    return list({i for w in set(WORD.findall(sentence)) for i in features(w)})
 
 
 @dataclass
@@ -42,13 +50,24 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
 
 
-def fit(bags: list[tuple[list[list[int]], int]], steps: int = 250, rate: float = 0.25, l1: float = 2e-4, least: int = 4) -> Model:
-    """Noisy-or likelihood by proximal Adam; words in fewer than `least` documents have no weight."""
+def fit(bags: list[tuple[list[list[int]], int]], steps: int = 300, rate: float = 0.1, l2: float = 1e-5, least: int = 4, score: float = 4.0) -> Model:
+    """Noisy-or likelihood by Adam over the features that are more common in toxic documents than chance allows.
+
+    A feature is kept if it is in `least` documents and its toxic ones exceed the expected number by `score` standard deviations.
+    Where other words of the same documents explain the labels, a nearly pure feature keeps the weight that its own documents call for.
+    Weights are not negative: a harmless word is no evidence against an offending one in the same sentence.
+    """
     bags = [b for b in bags if any(b[0])]
-    if not bags:
+    y = np.array([label for _, label in bags], float)
+    if not bags or not 0 < y.sum() < len(y):
+        return Model()
+    own = [np.fromiter({i for s in bag for i in s}, np.int64) for bag, _ in bags]
+    seen = np.bincount(np.concatenate(own), minlength=DIM)
+    toxic = np.bincount(np.concatenate([o for o, label in zip(own, y, strict=True) if label]), minlength=DIM)
+    share = y.mean()
+    kept = np.flatnonzero((seen >= least) & (toxic - seen * share >= score * np.sqrt(seen * share * (1 - share))))
+    if not len(kept):
         return Model()
-    seen = np.bincount(np.concatenate([np.fromiter({i for s in bag for i in s}, np.int64) for bag, _ in bags]), minlength=DIM)
-    kept = np.flatnonzero(seen >= least)
     place = np.full(DIM, -1, np.int64)
     place[kept] = np.arange(len(kept))
     sentences = [s for bag, _ in bags for s in bag]
@@ -56,23 +75,22 @@ def fit(bags: list[tuple[list[list[int]], int]], steps: int = 250, rate: float =
     owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
     owner, flat = owner[flat >= 0], flat[flat >= 0]
     doc = np.repeat(np.arange(len(bags)), [len(bag) for bag, _ in bags])
-    y = np.array([label for _, label in bags], float)
-    w, bias = np.zeros(len(kept)), -6.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    pure = (toxic[kept] + 0.5) / (seen[kept] + 1)
+    prior = np.log(pure / (1 - pure))
+    x = np.append(np.ones(len(kept)), -6.0)  # weights, then the bias
+    m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        z = bias + np.bincount(owner, w[flat], len(sentences))
+        z = x[-1] + np.bincount(owner, x[flat], len(sentences))
         p = 1 / (1 + np.exp(-z))
         none = -np.bincount(doc, np.logaddexp(0, z), len(bags))  # log of no toxic sentence
         pull = np.where(y > 0, -1 / np.maximum(np.expm1(-none), 1e-6), 1.0)
         gz = pull[doc] * p / len(bags)
-        g = np.append(np.bincount(flat, gz[owner], len(kept)), gz.sum())
+        g = np.append(np.bincount(flat, gz[owner], len(kept)) + l2 * np.where(prior > SURE, x[:-1] + LOWEST - prior, x[:-1]), gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        size = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        move = size * m / (1 - 0.9**step)
-        w -= move[:-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - l1 * np.minimum(size[:-1], 1e3), 0)
-        bias = min(bias - move[-1], -1.0)
-    return Model(float(bias), {int(kept[i]): float(w[i]) for i in np.flatnonzero(w)})
+        x = x - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        x[:-1] = np.maximum(x[:-1], 0)
+        x[-1] = min(max(x[-1], LOWEST), -1.0)
+    return Model(float(x[-1]), {int(kept[i]): float(x[i]) for i in np.flatnonzero(x[:-1])})
 
 
 def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP) -> Model:
@@ -95,10 +113,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def weight(self, word: str) -> float:
+    def weight(self, word: str) -> tuple[tuple[int, float], ...]:
         if len(self.known) > CACHE:
             self.known.clear()
-        w = self.known[word] = self.model.weights.get(zlib.crc32(word.encode()) % DIM, 0.0)
+        w = self.known[word] = tuple((i, self.model.weights[i]) for i in sorted(features(word)) if i in self.model.weights)
         return w
 
     def __call__(self, text: str, threshold: float = 0.5) -> tuple[float, str]:
@@ -113,9 +131,11 @@ class Scorer:
                 w = known.get(word)
                 if w is None:
                     w = self.weight(word)
-                if w and word not in hit:
-                    hit.add(word)
-                    z += w
+                if w:
+                    for i, x in w:
+                        if i not in hit:
+                            hit.add(i)
+                            z += x
             none += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
             if z >= math.log(threshold / (1 - threshold)):
                 spans.append(f"{m.start()}:{m.end()}")
