@@ -45,3 +45,10 @@ def test_bytes_are_checked_on_hits(spark, monkeypatch):
     state = docs.groupBy(F.length("text").cast("string").alias("digest")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exactdedup.exact_dedup(docs, state).collect())
     assert got == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 4, 1), (5, 3, 2)]
+
+
+def test_joins_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exactdedup, "FEW_HITS", 0)
+    docs = documents(spark)
+    docs.write.parquet(str(tmp_path / "d"))
+    assert sorted(map(tuple, exactdedup.op8_exact_dedup(spark, str(tmp_path / "d")).collect()), key=str) == brute(docs.collect())

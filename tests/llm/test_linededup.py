@@ -83,3 +83,10 @@ def test_oracle(spark):
     want = sorted(con.execute(queries.ORACLES["op3_line_dedup"]).fetchall())
     got = sorted(map(tuple, linededup.op3_line_dedup(spark.createDataFrame([(int(a), b) for a, b in frame.itertuples(index=False)], "doc_id long, text string")).collect()))
     assert got == want
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", 0)
+    docs = documents(spark).where("text is null or length(text) < 1000")
+    assert check(docs)
+    assert linededup.op3_line_dedup(docs).count() == docs.count()
