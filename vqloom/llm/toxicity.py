@@ -5,8 +5,8 @@ the document is toxic unless no sentence is: 1 - prod(1 - p). Weights come from
 and the same sentence scores then point at the offending sentences.
 
 Defined results: a null or empty text has no sentence and scores 0; labels of unknown or repeated documents are
-joined by id, and a document with several labels counts once for each; without any usable label every score is 0.5
-of nothing: the bias stays very low, so nothing is predicted toxic.
+joined by id, and a document with several labels counts once for each; without labels of both kinds nothing is learned: the bias stays
+very low, so nothing is predicted toxic.
 """
 
 from __future__ import annotations
