@@ -50,30 +50,33 @@ class Model:
     weights: dict[int, float] = field(default_factory=dict)
 
 
-def fit(bags: list[tuple[list[list[int]], int]], steps: int = 300, rate: float = 0.1, l2: float = 1e-5, least: int = 4, score: float = 4.0) -> Model:
+def fit(bags: list[tuple[list, int]], steps: int = 300, rate: float = 0.1, l2: float = 1e-5, least: int = 4, score: float = 4.0) -> Model:
     """Noisy-or likelihood by Adam over the features that are more common in toxic documents than chance allows.
 
-    A feature is kept if it is in `least` documents and its toxic ones exceed the expected number by `score` standard deviations.
+    A bag is a list of sentences, each a list or array of feature numbers. A feature is kept if it is in `least` documents and its toxic ones exceed the expected number by `score` standard deviations.
     Where other words of the same documents explain the labels, a nearly pure feature keeps the weight that its own documents call for.
     Weights are not negative: a harmless word is no evidence against an offending one in the same sentence.
     """
-    bags = [b for b in bags if any(b[0])]
+    bags = [([np.asarray(s, np.int32) for s in bag], label) for bag, label in bags if any(len(s) for s in bag)]
     y = np.array([label for _, label in bags], float)
     if not bags or not 0 < y.sum() < len(y):
         return Model()
-    own = [np.fromiter({i for s in bag for i in s}, np.int64) for bag, _ in bags]
-    seen = np.bincount(np.concatenate(own), minlength=DIM)
-    toxic = np.bincount(np.concatenate([o for o, label in zip(own, y, strict=True) if label]), minlength=DIM)
+    seen, toxic = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
+    for bag, label in bags:
+        own = np.unique(np.concatenate(bag))
+        seen[own] += 1
+        toxic[own] += int(label > 0)
     share = y.mean()
     kept = np.flatnonzero((seen >= least) & (toxic - seen * share >= score * np.sqrt(seen * share * (1 - share))))
     if not len(kept):
         return Model()
-    place = np.full(DIM, -1, np.int64)
+    place = np.full(DIM, -1, np.int32)
     place[kept] = np.arange(len(kept))
     sentences = [s for bag, _ in bags for s in bag]
-    flat = place[np.fromiter((i for s in sentences for i in s), np.int64)]
-    owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    owner, flat = owner[flat >= 0], flat[flat >= 0]
+    # Only the kept features of a sentence are held on.
+    found = [(at := place[s])[at >= 0] for s in sentences]
+    flat = np.concatenate(found)
+    owner = np.repeat(np.arange(len(sentences)), [len(s) for s in found])
     doc = np.repeat(np.arange(len(bags)), [len(bag) for bag, _ in bags])
     pure = (toxic[kept] + 0.5) / (seen[kept] + 1)
     prior = np.log(pure / (1 - pure))
@@ -98,13 +101,22 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP) -> Model:
     own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & (fold_bucket(F.col("doc_id"), 5) != 0))
     own = own.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(cap)
 
-    @F.pandas_udf("array<array<int>>")
-    def bag(texts: pd.Series) -> pd.Series:
-        return pd.Series([[word_ids(s) for s in SENTENCE.findall(t.lower())] for t in texts], dtype=object)
+    @F.pandas_udf("lengths binary, ids binary")
+    def bag(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            sentences = [word_ids(s) for s in SENTENCE.findall(t.lower())]
+            out.append((np.array([len(s) for s in sentences], np.int32).tobytes(), np.array([i for s in sentences for i in s], np.int32).tobytes()))
+        return pd.DataFrame(out, columns=["lengths", "ids"])
 
+    # Bags travel and stay as packed 32-bit numbers: four bytes for each feature of the sample, on the driver too.
     rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")).join(F.broadcast(own), "_id").select("_id", bag("_text").alias("bag"), "_toxic").toLocalIterator()
-    pairs = sorted(((r["_id"], [list(s) for s in r["bag"]], r["_toxic"]) for r in rows), key=lambda r: (r[0], r[2], str(r[1])[:200]))
-    return fit([(b, y) for _, b, y in pairs])
+    packed = sorted(((r["_id"], r["_toxic"], bytes(r["bag"]["lengths"]), bytes(r["bag"]["ids"])) for r in rows), key=lambda r: (r[0], r[1], zlib.crc32(r[3])))
+    bags = []
+    for _, label, lengths, ids in packed:
+        ends = np.cumsum(np.frombuffer(lengths, np.int32))
+        bags.append((np.split(np.frombuffer(ids, np.int32), ends[:-1]) if len(ends) else [], label))
+    return fit(bags)
 
 
 class Scorer:
