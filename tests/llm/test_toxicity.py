@@ -54,6 +54,21 @@ def test_noisy_or_gradient_reaches_planted_words():
     assert max(model.weights, key=model.weights.get) == 9
 
 
+def test_length_alone_is_not_toxic(spark):
+    docs, labels, _ = corpus(spark)
+    clean = " ".join(["abba gaba head."] * 20_000)
+    more = spark.createDataFrame([(1001, clean), (1002, f"{clean} head zzbad gaba.")], docs.schema)
+    rows = {r["doc_id"]: r for r in toxicity.op2_toxicity(docs.union(more), labels).where("doc_id > 1000").collect()}
+    assert rows[1001]["score"] < 0.01 and rows[1001]["offending"] == ""
+    assert rows[1002]["predicted"] == 1 and rows[1002]["offending"].count(":") == 1
+    assert [r["doc_id"] for r in toxicity.reject_toxic(docs.union(more), labels).where("doc_id > 1000").collect()] == [1001]
+
+
+def test_a_sentence_without_features_counts_for_nothing():
+    score = toxicity.Scorer(toxicity.Model(-3.0, {toxicity.zlib.crc32(b"zz") % toxicity.DIM: 4.0}))
+    assert score("a b. " * 20_000) == (0.0, "") and score("zz") == score("zz" + ". a b" * 20_000)
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0, None), (None, 1, 1), (9, 0, 1), (10, 1, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
     docs = documents(spark)

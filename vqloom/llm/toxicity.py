@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: noisy-or over sentences, trained from document labels.
 
-A document is a bag of sentences. A sentence has the score sigmoid(bias + sum of the weights of its distinct words and word beginnings);
-the document is toxic unless no sentence is: 1 - prod(1 - p). Weights come from document labels alone,
+A document is a bag of sentences. With z = bias + sum of the weights of its distinct words and word beginnings, a sentence is clean with
+probability 1 - p = (1 + exp(bias)) / (1 + exp(z)): relative to a sentence without any learned feature, which counts for nothing however
+many there are. The document is toxic unless no sentence is: 1 - prod(1 - p). Weights come from document labels alone,
 and the same sentence scores then point at the offending sentences.
 
 Defined results: a null or empty text has no sentence and scores 0; labels of unknown or repeated documents are
@@ -85,10 +86,11 @@ def fit(bags: list[tuple[list, int]], steps: int = 300, rate: float = 0.1, l2: f
     for step in range(1, steps + 1):
         z = x[-1] + np.bincount(owner, x[flat], len(sentences))
         p = 1 / (1 + np.exp(-z))
-        none = -np.bincount(doc, np.logaddexp(0, z), len(bags))  # log of no toxic sentence
+        none = -np.bincount(doc, np.logaddexp(0, z) - np.logaddexp(0, x[-1]), len(bags))  # log of no toxic sentence
         pull = np.where(y > 0, -1 / np.maximum(np.expm1(-none), 1e-6), 1.0)
         gz = pull[doc] * p / len(bags)
-        g = np.append(np.bincount(flat, gz[owner], len(kept)) + l2 * np.where(prior > SURE, x[:-1] + LOWEST - prior, x[:-1]), gz.sum())
+        gb = pull[doc] * (p - 1 / (1 + np.exp(-x[-1]))) / len(bags)
+        g = np.append(np.bincount(flat, gz[owner], len(kept)) + l2 * np.where(prior > SURE, x[:-1] + LOWEST - prior, x[:-1]), gb.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         x[:-1] = np.maximum(x[:-1], 0)
@@ -134,6 +136,7 @@ class Scorer:
     def __call__(self, text: str, threshold: float = 0.5) -> tuple[float, str]:
         """The document's score, and `start:end` of each offending sentence in code points."""
         none, spans, known = 0.0, [], self.known
+        base, least = math.log1p(math.exp(self.model.bias)), -math.log1p(-threshold)
         low = text.lower()
         if len(low) != len(text):  # a few letters change length in lower case; offsets must not
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -148,9 +151,11 @@ class Scorer:
                         if i not in hit:
                             hit.add(i)
                             z += x
-            none += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
-            if z >= math.log(threshold / (1 - threshold)):
-                spans.append(f"{m.start()}:{m.end()}")
+            if hit:
+                own = max(z, 0.0) + math.log1p(math.exp(-abs(z))) - base
+                none += own
+                if own >= least:
+                    spans.append(f"{m.start()}:{m.end()}")
         return -math.expm1(-none), ",".join(spans)
 
 
