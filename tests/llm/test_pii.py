@@ -59,3 +59,13 @@ def test_context_and_checksums(spark):
     spans = {r["doc_id"]: r["spans"] for r in pii.op4_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert spans[1].startswith("iban:5:") and spans[2].startswith("iban:0:") and "iban" not in spans[3]
     assert spans[4] == "id:11:23" and spans[5] == ""
+
+
+def spans_of(spark, texts):
+    rows = pii.op4_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["spans"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_short_numbers_need_no_other_number(spark):
+    texts = ["ssn 123-45-6789", "passport 123456789", "tax 1234567890", "ssn 12345678", "see 123456789", "ssn 123-45-6789 and then, far away from any such word, 999999999999"]
+    assert spans_of(spark, texts) == ["id:4:15", "id:9:18", "id:4:14", "", "", "id:4:15"]

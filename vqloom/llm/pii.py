@@ -2,7 +2,7 @@
 
 Every span has a score: a prior for its kind, a bonus if its checksum holds, a bonus for a context word of its kind
 in the CONTEXT code points before it. Spans of the base kinds that pass their own validator are always kept; the
-kinds that only this method adds (`iban`, checked by mod-97, and `id`, a digit run that fails its checksum but has a
+kinds that only this method adds (`iban`, checked by mod-97, and `id`, a run of 9 to 19 digits that is no card but has a
 context word) need a score of THRESHOLD.
 
 Defined results: a null text is the empty text; no span gives zero counts, the digest of the empty string and ''.
@@ -106,7 +106,9 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
         found = F.col(f"_vq_{kind}")
         # Offsets cost a second pass, made only where a match may count.
         may = F.size(found) > 0
-        if kind in ("card", "iban"):
+        if kind == "card":
+            may &= F.exists(found, lambda x: F.length(_digits(x)).between(9, 19))
+        if kind == "iban":
             may &= F.exists(found, lambda x: F.length(x).between(12, 60))
         out = out.withColumn(f"_vq_{kind}", F.when(may, _spans(F.col("_vq_text"), found, PATTERNS[kind])))
     for kind in PATTERNS:
