@@ -69,3 +69,15 @@ def spans_of(spark, texts):
 def test_short_numbers_need_no_other_number(spark):
     texts = ["ssn 123-45-6789", "passport 123456789", "tax 1234567890", "ssn 12345678", "see 123456789", "ssn 123-45-6789 and then, far away from any such word, 999999999999"]
     assert spans_of(spark, texts) == ["id:4:15", "id:9:18", "id:4:14", "", "", "id:4:15"]
+
+
+def test_what_follows_an_iban_takes_nothing_from_it(spark):
+    one, parts = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"iban {one} Please", f"IBAN {parts} BIC COBADEFFXXX", f"IBAN {parts} 12", f"{parts} GB82 WEST 1234 5698 7654 32", f"AB12 CDEFGHIJKLM {one}", f"IBAN {one}0 x", f"IBAN {one}a", f"{parts}, ok"]
+    assert spans_of(spark, texts) == ["iban:5:27", "iban:5:32", "iban:5:32", "iban:0:27,iban:28:55", "iban:17:39", "", "", "iban:0:27"]
+
+
+def test_many_iban_heads_stay_linear(spark):
+    heads, real = "AB12 " * 60_000, "DE89370400440532013000 "
+    spans = spans_of(spark, [heads, heads + "A" * 100_000, real * 2_000])
+    assert spans[:2] == ["", ""] and spans[2].count("iban:") == 2_000

@@ -3,7 +3,7 @@
 Every span has a score: a prior for its kind, a bonus if its checksum holds, a bonus for a context word of its kind
 in the CONTEXT code points before it. Spans of the base kinds that pass their own validator are always kept; the
 kinds that only this method adds (`iban`, checked by mod-97, and `id`, a run of 9 to 19 digits that is no card but has a
-context word) need a score of THRESHOLD.
+context word) need a score of THRESHOLD. An IBAN ends where its country's length does, or else with the run of capitals and digits.
 
 Defined results: a null text is the empty text; no span gives zero counts, the digest of the empty string and ''.
 All offsets are code points, the end exclusive. Long texts are scanned in linear time: the patterns are possessive
@@ -26,8 +26,18 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Only the head is consumed; the group looks ahead at what may follow, and at one character more if that goes on.
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
 }
+#: The length of an IBAN by country, of the registry and of countries that use the form without being in it.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY PT ST",
+    26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+FIXED = "^(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in LENGTHS.items()) + ")(?![A-Za-z0-9])"
+WHOLE = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+$"
 #: A cheap test that any match must pass.
 GATES = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -55,6 +65,12 @@ def _mod97(col: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise((acc * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97))
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN at the start of a run: of its country's length, or else all of the run; '' where mod-97 holds for neither."""
+    fixed, whole = (F.regexp_extract(run, p, 0) for p in (FIXED, WHOLE))
+    return F.when((fixed != "") & (_mod97(fixed) == 1), fixed).when((whole != "") & (_mod97(whole) == 1), whole).otherwise("")
+
+
 def _valid(kind: str, found: Column) -> Column:
     if kind == "ip":
         return found.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
@@ -105,12 +121,16 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     for kind in PATTERNS:
         found = F.col(f"_vq_{kind}")
         # Offsets cost a second pass, made only where a match may count.
-        may = F.size(found) > 0
+        may, spans = F.size(found) > 0, _spans(F.col("_vq_text"), found, PATTERNS[kind])
         if kind == "card":
             may &= F.exists(found, lambda x: F.length(_digits(x)).between(9, 19))
         if kind == "iban":
-            may &= F.exists(found, lambda x: F.length(x).between(12, 60))
-        out = out.withColumn(f"_vq_{kind}", F.when(may, _spans(F.col("_vq_text"), found, PATTERNS[kind])))
+            rest = F.when(may, F.regexp_extract_all("_vq_text", F.lit(PATTERNS[kind]), F.lit(1))).otherwise(no_match)
+            out = out.withColumn("_vq_run", F.zip_with(found, rest, lambda a, b: _iban(F.concat(a, b))))
+            may = F.exists("_vq_run", lambda x: x != "")
+            spans = F.zip_with(spans, "_vq_run", lambda s, x: F.struct(s["start"].alias("start"), (s["start"] + F.length(x)).alias("end"), x.alias("found")))
+            spans = F.filter(spans, lambda s: s["found"] != "")
+        out = out.withColumn(f"_vq_{kind}", F.when(may, spans))
     for kind in PATTERNS:
 
         def scored(span: Column) -> Column:  # noqa: B023
@@ -127,7 +147,7 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
 
         spans = F.filter(F.transform(f"_vq_{kind}", scored), lambda s: s.isNotNull() & (s["base"] | (s["score"] >= THRESHOLD)))
         out = out.withColumn(f"_vq_{kind}", F.coalesce(F.when(F.col(f"_vq_{kind}").isNotNull(), spans), typed))
-    return out.withColumn(into, F.array_sort(F.concat(*own))).drop("_vq_text", *own)
+    return out.withColumn(into, F.array_sort(F.concat(*own))).drop("_vq_text", "_vq_run", *own)
 
 
 def listed(spans: Column) -> Column:
