@@ -74,3 +74,16 @@ def test_last_stage(spark):
     got = sorted(((r["doc_id"], r["source"], tuple(r["ids"]), r["n_tokens"]) for r in S.encoded(docs, piece_model()).collect()), key=str)
     assert got == sorted(((r["doc_id"], r["source"], tuple(ids := sp.encode(r["text"] or "")), len(ids)) for r in docs.collect()), key=str)
     assert S.encoded(empty(spark), piece_model()).count() == 0
+
+
+def test_query_and_stage_carry_source_spans(spark):
+    own, docs = S.codec(piece_model()), documents(spark, ODD)
+    want = []
+    for r in docs.collect():
+        ids, begins, ends = own.encode(r["text"] or "")
+        packed = b"".join(x.to_bytes(4, "little") for x in [*begins[:1], *ends])
+        want.append((r["doc_id"], ids, begins, ends, hashlib.sha256(packed).hexdigest()))
+    stage = [(r["doc_id"], r["ids"], r["begins"], r["ends"]) for r in S.encoded(docs, piece_model()).collect()]
+    assert sorted(stage, key=str) == sorted((w[:4] for w in want), key=str)
+    rows = S.op5_sentencepiece(docs, piece_model(), spans=True).collect()
+    assert sorted(((r["doc_id"], r["spans_sha256"]) for r in rows), key=str) == sorted(((w[0], w[4]) for w in want), key=str)

@@ -32,7 +32,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.op5_sentencepiece(table(spark, sf_dir, "documents"), piece_model())
+    return sentencepiece_codec.op5_sentencepiece(table(spark, sf_dir, "documents"), piece_model(), spans=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

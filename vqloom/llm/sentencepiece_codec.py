@@ -3,7 +3,8 @@
 The model file is read as is. Text is normalised by longest-prefix matches in the model's compiled character map
 (a double-array trie); each normalised byte records the source byte it came from, so every piece projects to a span of
 original bytes. Pieces are found by byte-pair merges in score order with byte fallback. Where the character map is empty, text falls apart at
-spaces and at characters that no longer piece contains, and the encodings of such chunks are kept in a bounded table.
+spaces and at characters that no longer piece contains, and the encodings of such chunks are kept in a bounded table, with the source
+bytes of each id. Spans follow on each other: an id begins where the one before ends.
 
 Defined results: a null text is the empty text, which has no ids and decodes to itself; repeated rows are encoded alike.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 from itertools import pairwise
 
@@ -207,8 +209,8 @@ class Codec:
             at = end
         return ids, begins, ends
 
-    def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        """Ids as text, their number and the decoded bytes of a chunk."""
+    def _chunk(self, chunk: str) -> tuple[str, int, bytes, bytes]:
+        """Ids as text, their number, the decoded bytes of a chunk and the packed source lengths of its ids."""
         if len(self.kept) > CACHE:
             self.kept.clear()
         get, make = self.entry.get, self._entry
@@ -216,14 +218,14 @@ class Codec:
         if len(found) == 1:
             out = found[0]
         else:
-            out = ",".join([e[0] for e in found]), sum([e[1] for e in found]), b"".join([e[2] for e in found])
+            out = ",".join([e[0] for e in found]), sum([e[1] for e in found]), b"".join([e[2] for e in found]), b"".join([e[3] for e in found])
         self.kept[chunk] = out
         return out
 
-    def _entry(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids as text, number and decoded bytes of one piece; the vocabulary's own are kept for good."""
+    def _entry(self, piece: str) -> tuple[str, int, bytes, bytes]:
+        """Ids as text, number, decoded bytes and packed source lengths of one piece, a mark being one byte; the vocabulary's own are kept for good."""
         ids = self.ids_of(piece)
-        out = ",".join(map(str, ids)), len(ids), self.raw(ids)
+        out = ",".join(map(str, ids)), len(ids), self.raw(ids), array("i", [0] * (len(ids) - 1) + [len(piece.replace(MARK, " ").encode())]).tobytes()
         if piece in self.score:
             self.entry[piece] = out
         return out
@@ -240,20 +242,32 @@ class Codec:
             out = out[1:]
         return out.decode(errors="replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids and of the decoded text, without lists of ids where text falls into chunks."""
+    def _bounds(self, text: str, found: list[tuple]) -> np.ndarray:
+        """The first id's begin and the end of every id in source bytes, from a text's chunks."""
+        if MARK in text:  # a mark of the text's own has three bytes, and chunks do not tell it from a space
+            _, begins, ends = self.encode(text)
+            return np.array([*begins[:1], *ends], np.int32)
+        bounds = np.frombuffer(b"\0\0\0\0" + b"".join([f[3] for f in found]), np.int32).cumsum(dtype=np.int32)
+        bounds[1:] -= 1  # the mark put before the text
+        return bounds
+
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the ids, of the decoded text and of the spans (the first begin and all ends as 32-bit
+        little-endian numbers), without lists of ids where text falls into chunks."""
         if not text:
             empty = hashlib.sha256(b"").hexdigest()
-            return 0, empty, empty
+            return 0, empty, empty, empty
         if not self.simple:
-            ids = self.encode(text)[0]
-            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+            ids, begins, ends = self.encode(text)
+            spans = np.array([*begins[:1], *ends], "<i4").tobytes()
+            return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest(), hashlib.sha256(spans).hexdigest()
         get, make = self.kept.get, self._chunk
         found = [get(c) or make(c) for c in self.chunks.findall(MARK + text.replace(" ", MARK))]
         ids = ",".join([f[0] for f in found])
         out = b"".join([f[2] for f in found])
         # The first piece starts with the mark put before the text.
-        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out[1:]).hexdigest()
+        spans = hashlib.sha256(self._bounds(text, found).astype("<i4", copy=False)).hexdigest()
+        return sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out[1:]).hexdigest(), spans
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
@@ -264,6 +278,17 @@ class Codec:
         return np.fromstring(",".join([(get(c) or make(c))[0] for c in self.chunks.findall(MARK + text.replace(" ", MARK))]), np.int32, sep=",")
 
 
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What encode() gives, by chunks where text falls into them."""
+        if not text or not self.simple:
+            ids, begins, ends = self.encode(text) if text else ([], [], [])
+            return np.array(ids, np.int32), np.array(begins, np.int32), np.array(ends, np.int32)
+        get, make = self.kept.get, self._chunk
+        found = [get(c) or make(c) for c in self.chunks.findall(MARK + text.replace(" ", MARK))]
+        bounds = self._bounds(text, found)
+        return np.fromstring(",".join([f[0] for f in found]), np.int32, sep=","), bounds[:-1], bounds[1:]
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     """One codec for each model in a process."""
@@ -299,29 +324,32 @@ def with_decoded(df: DataFrame, path: str, ids: str = "ids", into: str = "text")
     return df.withColumn(into, run(F.col(ids)))
 
 
-def op5_sentencepiece(docs: DataFrame, path: str) -> DataFrame:
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+def op5_sentencepiece(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
+    """The digests of every document; with `spans` also that of the source byte spans."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
     def run(cells: pd.Series) -> pd.DataFrame:
         own = codec(path)
-        return pd.DataFrame([own.digest(t) for t in cells], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([own.digest(t) for t in cells], columns=names)
 
-    return docs.select("doc_id", run(whole_text()).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", run(whole_text()).alias("p")).select("doc_id", *[f"p.{n}" for n in names[: 3 + spans]])
 
 
 def encoded(docs: DataFrame, path: str, rows: int = 256) -> DataFrame:
-    """doc_id, source, lang where present, ids and n_tokens: the last step of a pipeline. Ids leave a worker `rows` documents at a time."""
+    """doc_id, source, lang where present, ids, n_tokens and the source byte spans (begins, ends) of the ids: the last step of a pipeline. Ids leave a worker `rows` documents at a time."""
     keys = [c for c in ("doc_id", "source", "lang") if c in docs.columns]
-    out = StructType([docs.schema[c] for c in keys] + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    out = StructType([docs.schema[c] for c in keys] + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())] + [StructField(c, ArrayType(IntegerType())) for c in ("begins", "ends")])
 
     def run(batches):
         own = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = [own.ids(t.as_py()) for t in part.column(len(keys))]
+                ids, begins, ends = zip(*[own.spans(t.as_py()) for t in part.column(len(keys))], strict=True)
                 lengths = np.array([len(x) for x in ids])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), lists, pa.array(lengths, pa.int64())], [*keys, "ids", "n_tokens"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (ids, begins, ends)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), lists[0], pa.array(lengths, pa.int64()), *lists[1:]], [*keys, "ids", "n_tokens", "begins", "ends"])
 
     return docs.select(*keys, whole_text().alias("_vq_text")).mapInArrow(run, out)
