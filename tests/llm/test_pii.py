@@ -81,3 +81,15 @@ def test_many_iban_heads_stay_linear(spark):
     heads, real = "AB12 " * 60_000, "DE89370400440532013000 "
     spans = spans_of(spark, [heads, heads + "A" * 100_000, real * 2_000])
     assert spans[:2] == ["", ""] and spans[2].count("iban:") == 2_000
+
+
+def test_every_octet_in_every_place(spark):
+    octets = ["0", "00", "000", "1", "01", "010", "255", "0255", "256", "0256", "300", "1000"]
+    texts = []
+    for place in range(4):
+        for o in octets:
+            parts = ["8", "0", "4", "10"]
+            parts[place] = o
+            texts.append(f"ip {'.'.join(parts)} x")
+    texts += ["10.0.0.1 and 192.168.0.1 and 8.8.4.4 and 010.1.1.1", "0.0.0.0", "0.0.0", "00000.0.0.0000"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

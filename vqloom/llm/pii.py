@@ -40,7 +40,8 @@ FIXED = "^(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]
 WHOLE = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+$"
 #: A cheap test that any match must pass.
 GATES = {"email": "@", "ip": ".", "phone": "+"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Leading zeros go first; a number of zeros only has nothing behind them.
+OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|(?<=0))"
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.3, "phone": 0.6, "iban": 0.2, "id": 0.1}
 CHECKED, NEAR, THRESHOLD, CONTEXT = 0.6, 0.5, 0.6, 40
 WORDS = {
