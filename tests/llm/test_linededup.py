@@ -1,7 +1,10 @@
+import hashlib
 import random
+import time
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from vqloom.llm import linededup, queries
@@ -61,15 +64,25 @@ def test_random_lines_match_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    docs = documents(spark).where("text is null or length(text) < 1000")
+    docs = documents(spark)
     check(docs)
-    long = documents(spark)
-    rows = linededup.op3_line_dedup(long).collect()
-    assert len(rows) == long.count()
-    assert linededup.without_duplicate_lines(long).columns == long.columns
+    rows = linededup.op3_line_dedup(docs).collect()
+    assert len(rows) == docs.count()
+    assert linededup.without_duplicate_lines(docs).columns == docs.columns
     assert linededup.op3_line_dedup(empty(spark)).count() == 0
 
 
+def test_a_document_of_half_a_million_lines(spark):
+    lines = [f"line {i % 1000} of a very long text {i % 1000}" for i in range(500_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "line 7 of a very long text 7")], "doc_id long, text string")
+    began = time.time()
+    rows = {r["doc_id"]: r for r in linededup.op3_line_dedup(docs).collect()}
+    assert time.time() - began < 60
+    # Lines of the first thousand differ in two words, so each stays once.
+    assert rows[1]["n_dropped"] == 499_000 and rows[2]["n_dropped"] == 1
+    assert rows[1]["kept_sha256"] == hashlib.sha256("\n".join(lines[:1000]).encode()).hexdigest()
+
+
 def test_texts_lose_just_these_lines(spark):
     docs = spark.createDataFrame([(1, "a b c d e\nx\n\nx"), (2, "a b c d f\ny"), (3, None), (4, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.without_duplicate_lines(docs).collect()}
@@ -85,8 +98,10 @@ def test_oracle(spark):
     assert got == want
 
 
-def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch, hot):
     monkeypatch.setattr(linededup, "FEW", 0)
+    monkeypatch.setattr(linededup, "HOT", hot)
     docs = documents(spark).where("text is null or length(text) < 1000")
     assert check(docs)
     assert linededup.op3_line_dedup(docs).count() == docs.count()

@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, stored, whole_text
+from .common import sized, spread_join, stored, whole_text
 
 LEAST = 5
-#: Tables of at most so many short rows are broadcast.
+#: Tables of at most so many short rows are broadcast; beyond that, the keys that hold more than one row in HOT.
 FEW = 500_000
+HOT = 1000
 CHANGED, LONGER, WHOLE = 0, 1, 2
 RANK = ("no_id", "doc_id", "text_hash", "line_no")
 
@@ -37,7 +38,9 @@ def _line_id(line: Column) -> Column:
 def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every non-blank line: rank (null ids last, doc_id, text hash, line number) and line."""
     whole = whole_text(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
+    # The hash is taken before the text falls into lines, once for each document.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_hash"), F.split(whole, "\n").alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line"))
     return rows.where(F.trim("line") != "").withColumn("no_id", F.col("doc_id").isNull()).select(F.struct(*RANK).alias("rank"), "line")
 
 
@@ -98,25 +101,33 @@ def line_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     return stored(keyed.select("rank.*", "id.*", F.when(n >= least, F.array_distinct(_halves(F.col("w"), n))).alias("halves")), "lines")
 
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str], weight: str = "n", how: str = "inner") -> DataFrame:
+    return spread_join(left, right, on, weight, FEW, how, HOT)
+
+
 def _near_lines(docs: DataFrame, index: DataFrame, text: str, doc_id: str) -> DataFrame:
     """a, b of the distinct lines that have an earlier one within one word edit."""
     half = index.where("halves is not null").select("a", F.explode("halves").alias("half"))
+    count = F.count("*").alias("n")
     # Repeated lines fold in the aggregate, so a very common line is one row.
-    shared = sized(stored(half.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("half"), "halves"), FEW)
-    rivals = sized(stored(half.join(shared, "half", "left_semi").select("a").distinct(), "rivals"), FEW)
-    firsts = sized(stored(index.join(rivals, "a", "left_semi").groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("rank")), "firsts"), FEW)
-    texts = stored(lines_of(docs, text, doc_id).join(firsts, "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"), F.min("line").alias("line")), "rival-lines")
-    keys = _variants(texts)
-    met = sized(stored(keys.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "variants"), FEW)
+    shared = stored(half.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), count).where("lo <> hi").select("half", "n"), "halves")
+    rivals = stored(_meet(half, shared, ["half"], how="left_semi").groupBy("a").agg(count), "rivals")
+    firsts = stored(_meet(index, rivals, ["a"], how="left_semi").groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("rank"), F.lit(1).alias("n")), "firsts")
+    texts = stored(_meet(lines_of(docs, text, doc_id), firsts, ["rank"]).groupBy("a", "b").agg(F.min("rank").alias("rank"), F.min("line").alias("line")), "rival-lines")
+    keys = stored(_variants(texts), "variants")
+    met = stored(keys.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), count).where("lo <> hi").select("key", "n"), "met")
     line = texts.select("a", "b", "rank")
-    there = keys.join(met, "key", "left_semi").distinct().join(line, "a")
+    there = stored(_meet(keys, met, ["key"], how="left_semi").distinct().join(line, "a"), "variants-met")
     # The earliest line on each side of a key: a changed word makes one side, a missing one two.
     who = F.struct("rank", "a", "b")
-    sides = there.groupBy("key").agg(F.min(F.when(F.col("kind") != WHOLE, who)).alias("early"), F.min(F.when(F.col("kind") == WHOLE, who)).alias("bare"))
+    sides = stored(there.groupBy("key").agg(F.min(F.when(F.col("kind") != WHOLE, who)).alias("early"), F.min(F.when(F.col("kind") == WHOLE, who)).alias("bare"), count), "sides")
     other = F.when(F.col("kind") == LONGER, F.col("bare")).otherwise(F.col("early"))
-    pairs = there.join(sides, "key").select("a", "b", "rank", other.alias("other")).where("other.rank < rank").select("a", "b", F.col("other.a").alias("oa"), F.col("other.b").alias("ob")).distinct()
+    pairs = _meet(there, sides, ["key"]).select("a", "b", "rank", other.alias("other")).where("other.rank < rank").select("a", "b", F.col("other.a").alias("oa"), F.col("other.b").alias("ob")).distinct()
+    pairs = stored(pairs, "pairs")
     own = texts.select("a", "b", _words(F.col("line")).alias("w"))
-    sought = pairs.join(own, ["a", "b"]).join(own.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("w").alias("v")), ["oa", "ob"])
+    # Of a line that many later ones come after, the words go to where those are.
+    early = stored(pairs.groupBy("oa", "ob").agg(count).join(own.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("w").alias("v")), ["oa", "ob"]), "early-lines")
+    sought = _meet(pairs.join(own, ["a", "b"]), early, ["oa", "ob"])
     return sought.where(_within_one(F.col("w"), F.col("v"))).select("a", "b").distinct()
 
 
@@ -125,9 +136,9 @@ def duplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     index = line_index(docs, text, doc_id, least)
     near = _near_lines(docs, index, text, doc_id).withColumn("near", F.lit(True))
     # Every occurrence of such a line goes; of a line that merely repeats, all but the first.
-    again = index.groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("a", "b", "first")
-    fate = near.join(again, ["a", "b"], "full")
-    return index.select(F.struct(*RANK).alias("rank"), "a", "b").join(fate, ["a", "b"]).where(F.col("near").isNotNull() | (F.col("rank") != F.col("first"))).select("rank")
+    lines = index.groupBy("a", "b").agg(F.min(F.struct(*RANK)).alias("first"), F.count("*").alias("n"))
+    fate = stored(lines.join(near, ["a", "b"], "left").where("near or n > 1"), "fates")
+    return _meet(index.select(F.struct(*RANK).alias("rank"), "a", "b"), fate, ["a", "b"]).where(F.col("near").isNotNull() | (F.col("rank") != F.col("first"))).select("rank")
 
 
 def _dropped(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
@@ -137,15 +148,27 @@ def _dropped(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
     return sized(stored(by_doc, "dropped"), FEW)
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of those numbers, in time linear in its length."""
+
+    def kept(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    return _bind(F.split(text, "\n"), kept)
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
     """`docs` without its duplicate lines, with the dropped line numbers in `_vq_gone` (null: none)."""
     gone = _dropped(docs, text, doc_id, least)
     whole = whole_text(text)
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_vq_id")) & (F.xxhash64(whole) == F.col("_vq_hash")), "left").drop("_vq_id", "_vq_hash")
-    numbered = F.arrays_zip(F.split(whole, "\n").alias("line"), F.sequence(F.lit(0), F.size(F.split(whole, "\n")) - 1).alias("no"))
-    lost = F.map_from_arrays("_vq_gone", F.col("_vq_gone"))
-    kept = F.filter(numbered, lambda x: ~F.map_contains_key(lost, x["no"]))
-    return joined.withColumn(text, F.when(F.col("_vq_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")))
+    return joined.withColumn(text, F.when(F.col("_vq_gone").isNull(), F.col(text)).otherwise(without_lines(whole, F.col("_vq_gone"))))
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
