@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag runs to its '>' or the end; a quote counts only behind '=', and one that never closes is a plain character. Nothing is given back, so a scan is linear.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAME = re.compile(r"[a-z]+")
+#: Words of names; the first and the last group mark one that the name itself takes back.
+NAME = re.compile(r"((?:no|without|hide|not)[-_])?+([a-z]++)([-_](?:off|none|closed|disabled|hidden)\b)?")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Their text is never part of a page.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas", "xmp"}
+CLOSING = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 #: Elements that run inside a line; all others make blocks and nodes.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: A start tag of the key closes an open one of the values.
@@ -52,17 +56,65 @@ class Node:
         self.linked = self.chars = 0
 
 
+class _Open:
+    """The open elements. Counts by name, for each block of inline elements and each scope, tell whether an end tag has anything to close, so that none searches in vain."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("page", 0)]  # inline ones stand for the block around them
+        self.blocks: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.scopes: list[Counter] = [Counter()]
+        self.links = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+            self.links += tag == "a"
+            return
+        self.blocks[tag] += 1
+        self.inline.append(Counter())
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
+
+    def pop_to(self, tags) -> None:
+        """Closes elements up to the last one of `tags`."""
+        tag = ""
+        while tag not in tags:
+            tag, _ = self.stack.pop()
+            if tag in INLINE:
+                self.inline[-1][tag] -= 1
+                self.links -= tag == "a"
+                continue
+            self.blocks[tag] -= 1
+            self.inline.pop()
+            self.scopes[-1][tag] -= 1
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        """An inline element closes within its block only."""
+        if (self.inline[-1] if tag in INLINE else self.blocks)[tag] > 0:
+            self.pop_to((tag,))
+
+    def make_room(self, tags: set[str]) -> None:
+        """Closes the last open one of `tags` within the nearest scope."""
+        if any(self.scopes[-1][t] > 0 for t in tags):
+            self.pop_to(tags)
+
+
 def parse(html: str) -> list[Node]:
-    """Nodes in page order, each after its parent; the first is the page."""
+    """Nodes in page order, each after its parent; the first is the page. Time is linear in the page's length."""
     nodes = [Node("page", -1)]
-    stack: list[tuple[str, int]] = [("page", 0)]  # open elements; inline ones stand for the block around them
-    run, links, at, raw = -1, 0, 0, None
+    opened = _Open()
+    run, at = -1, 0
 
     def add(piece: str, whole: bool = True) -> None:
         nonlocal run
         if not piece:
             return
-        here = stack[-1][1]
+        here = opened.stack[-1][1]
         if run < 0:
             if not piece.strip():
                 return
@@ -73,14 +125,11 @@ def parse(html: str) -> list[Node]:
         text = unescape(piece) if whole and "&" in piece else piece
         node.text.append(text)
         node.chars += len(text)
-        if links:
+        if opened.links:
             node.linked += len(text)
 
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if raw is None:
-            add(html[at : m.start()])
+    while m := TOKEN.search(html, at):
+        add(html[at : m.start()])
         at = m.end()
         token = m.group()
         if not m.group(1):
@@ -89,7 +138,7 @@ def parse(html: str) -> list[Node]:
             continue
         tag, end = m.group(1).lower(), token[1] == "/"
         if not end and tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            close = CLOSING[tag].search(html, at)
             at = close.end() if close else len(html)
             if tag not in ("svg", "math"):
                 run = run if tag in INLINE else -1
@@ -98,50 +147,30 @@ def parse(html: str) -> list[Node]:
             add(" ")
             continue
         if tag in INLINE:
-            if end:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        links -= tag == "a"
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            else:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+            opened.end(tag) if end else opened.push(tag, opened.stack[-1][1])
             continue
         run = -1
         if tag in VOID:
             continue
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            opened.end(tag)
             continue
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if shut:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in shut:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            opened.make_room(shut)
         names = []
         rest = m.group(2)
         if rest and "=" in rest or rest and "hidden" in rest:
             for a in ATTRIBUTE.finditer(rest):
                 kind, value = a.group(1).lower(), (a.group(2) or "").lower()
                 if kind in ("class", "id", "role"):
-                    names += NAME.findall(value)
+                    names += [w for no, w, off in NAME.findall(value) if not no and not off]
                 elif kind == "hidden" or "none" in value.replace(" ", "") and kind == "style" or kind == "aria-hidden" and "true" in value:
                     names.append("hidden")
-        here = stack[-1][1]
+        here = opened.stack[-1][1]
         nodes.append(Node(tag, here, tuple(names)))
         nodes[here].kids.append(len(nodes) - 1)
-        stack.append((tag, len(nodes) - 1))
+        opened.push(tag, len(nodes) - 1)
     add(html[at:])
     return nodes
 
@@ -280,20 +309,25 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 150, rate: float = 0.5
     return Model(unary.tolist(), [tuple(r) for r in pair.tolist()])
 
 
-def labelled_pages(n: int = 100, seed: int = 5) -> list[tuple[str, set[str]]]:
-    """Pages of the usual parts, with the texts of their content blocks."""
+def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, set[str]]]:
+    """Pages of the usual parts, with the texts of their content blocks.
+
+    Parts come in many forms, some closing tags are left out as careless authors do, and one container in six bears a name that
+    belongs to another part, so that no single name decides.
+    """
     r = random.Random(seed)
+    every = [w for words in GROUPS.values() for w in words.split()]
     pages = []
     for number in range(n):
         content: set[str] = set()
+        careless = r.random() < 0.25
+        close = lambda t: "" if careless and t in ("p", "li", "td", "tr", "b", "i", "span") and r.random() < 0.5 else f"</{t}>"  # noqa: B023, E731
 
         def words(lo: int, hi: int) -> str:
             return " ".join("".join(r.choice("abdegiklmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(r.randint(lo, hi)))
 
-        joint = r.choice([" "] * 8 + [" | ", "%%% ", "&& "])
-
         def sentence() -> str:
-            return joint.join(words(4, 14).capitalize().split()) + r.choice([".", ".", ".", "!", "?"])
+            return words(4, 14).capitalize() + r.choice([".", ".", ".", ".", "!", "?", ":", ";", "…", ")"])
 
         def prose(keep: bool = True, hi: int = 6) -> str:
             t = " ".join(sentence() for _ in range(r.randint(1, hi)))
@@ -301,12 +335,29 @@ def labelled_pages(n: int = 100, seed: int = 5) -> list[tuple[str, set[str]]]:
                 content.add(t)
             return t
 
+        def names(own: str) -> str:
+            """A class or id, or none: a word of `own`, sometimes with neutral or foreign ones."""
+            if not own or r.random() < 0.1:
+                return ""
+            out = [r.choice(own.split())]
+            if r.random() < 0.3:
+                out.append(words(1, 1))
+            if r.random() < 0.16:
+                out.append(r.choice(every))
+            r.shuffle(out)
+            return f' {r.choice(["class", "class", "id"])}="{r.choice([" ", " ", "-"]).join(out)}"'
+
         def menu(k: int) -> str:
-            return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 2)}</a></li>' for i in range(k)) + "</ul>"
+            items = [f'<a href="/{i}">{words(1, 3)}</a>' for i in range(k)]
+            return "<ul>" + "".join(f"<li>{i}{close('li')}" for i in items) + "</ul>" if r.random() < 0.8 else r.choice([" | ", " ", " &middot; "]).join(items)
 
-        def box(names: str, inner: str, tags: tuple = ("div", "section", "aside")) -> str:
+        def box(own: str, inner: str, tags: tuple = ("div", "section", "aside")) -> str:
             t = r.choice(tags)
-            return f'<{t} class="{r.choice(names.split())}">{inner}</{t}>'
+            return f"<{t}{names(own)}>{inner}</{t}>"
+
+        def emphasis(t: str) -> str:
+            tag = r.choice(["b", "i", "em", "strong", "span"])
+            return f"<{tag}>{t}</{tag}>" if r.random() < 0.7 else f"<{tag}>{t}<br>"
 
         title = prose(hi=1) if r.random() < 0.5 else words(3, 9)
         content.add(title)
@@ -317,62 +368,70 @@ def labelled_pages(n: int = 100, seed: int = 5) -> list[tuple[str, set[str]]]:
             if terse:
                 text = prose(hi=1) if r.random() < 0.5 else words(1, 2).capitalize() + "."
                 content.add(text)
-                body.append(f"<p>{text}</p>" * r.randint(1, 12))
-            elif kind < 0.62:
-                body.append(f"<p>{prose()}</p>")
-            elif kind < 0.7:
-                body.append(f"<p><b>{prose(hi=1)}<br>")
-            elif kind < 0.78:
+                body.append(f"<p>{text}{close('p')}" * r.randint(1, 12))
+            elif kind < 0.58:
+                body.append(f"<p>{prose()}{close('p')}")
+            elif kind < 0.66:
+                body.append(f"<p>{emphasis(prose(hi=1))}{close('p')}")
+            elif kind < 0.74:
                 head = words(2, 6)
                 content.add(head)
                 body.append(f"<{(h := r.choice(['h2', 'h3']))}>{head}</{h}>")
-            elif kind < 0.86:
+            elif kind < 0.82:
                 items = [words(2, 9) for _ in range(r.randint(2, 4))]
                 content.update(items)
-                body.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
-            elif kind < 0.93:
+                tag = r.choice(["ul", "ul", "ol"])
+                body.append(f"<{tag}>" + "".join(f"<li>{i}{close('li')}" for i in items) + f"</{tag}>")
+            elif kind < 0.87:
                 body.append(f"<blockquote><p>{prose(hi=3)}</p></blockquote>")
+            elif kind < 0.91:
+                body.append(f"<pre>{prose(hi=2)}</pre>")
+            elif kind < 0.94:
+                body.append(f"<figure><img src=x><figcaption>{prose(hi=1)}</figcaption></figure>")
+            elif kind < 0.97:
+                body.append(f"<div>{prose()}</div>")
             else:
                 cells = [words(1, 4) for _ in range(4)]
                 content.update(cells)
-                body.append("<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in (cells[:2], cells[2:])) + "</table>")
+                body.append("<table>" + "".join(f"<tr><td>{a}{close('td')}<td>{b}{close('td')}{close('tr')}" for a, b in (cells[:2], cells[2:])) + "</table>")
             if r.random() < 0.12:
-                body.append(box("ad advert sponsored promo", f"<p>{prose(False, 2)}</p>" if r.random() < 0.5 else sentence(), ("div", "aside")))
+                body.append(box("ad advert sponsored promo banner", f"<p>{prose(False, 2)}</p>" if r.random() < 0.5 else sentence(), ("div", "aside")))
             if r.random() < 0.08:
-                body.append(box("share social related newsletter", menu(3) if r.random() < 0.5 else f"<p>{sentence()}</p>"))
+                body.append(box("share social related newsletter tags", menu(3) if r.random() < 0.5 else f"<p>{sentence()}</p>"))
         if r.random() < 0.15:
             body.append('<div class="comments">' + "".join(f'<div class="comment"><p>{prose(False, 4)}</p></div>' for _ in range(2)) + "</div>")
         if r.random() < 0.15:
             body.insert(0, f"<header><p>{words(1, 4)}</p></header>")
-        tag = r.choice(["article", "article", "article", "main", 'div class="content"', 'div id="article"', 'div class="post"', 'section class="entry"'])
-        article = f"<{tag}>{''.join(body)}</{tag.split()[0]}>"
+        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
+        own = names("content main post entry story body article text page prose")
+        article = f"<{tag}{own if tag not in ('article', 'main') or r.random() < 0.4 else ''}>{''.join(body)}</{tag}>"
         if r.random() < 0.25:
             article = f"<main>{article}</main>"
         if r.random() < 0.3:
-            article = f'<div class="{r.choice(["row", "col", "wrapper", "main"])}">{article}</div>'
+            article = f"<div{names('row col wrapper main layout grid')}>{article}</div>"
         before, after = [], []
         if r.random() < 0.6:
-            before.append(f"<nav>{menu(r.randint(3, 7))}</nav>" if r.random() < 0.7 else box("menu navbar breadcrumb", menu(4), ("div",)))
+            before.append(f"<nav{names('menu top primary') if r.random() < 0.4 else ''}>{menu(r.randint(3, 7))}</nav>" if r.random() < 0.7 else box("menu navbar breadcrumb", menu(4), ("div", "ul")))
         if r.random() < 0.4:
-            before.insert(0, f"<header>{r.choice([f'<h1>{words(1, 3)}</h1>', f'<p>{sentence()}</p>', f'<div>{words(1, 3)}</div>'])}</header>")
+            before.insert(0, f"<header>{r.choice([f'<h1>{words(1, 3)}</h1>', f'<p>{sentence()}</p>', f'<div>{words(1, 3)}</div>', menu(4)])}</header>")
         if r.random() < 0.5:
-            before.append(box("ad ads advert banner sponsored", prose(False, 3), ("div", "aside")))
+            before.append(box("ad ads advert banner sponsored promo", prose(False, 3), ("div", "aside")))
         if r.random() < 0.4:
-            before.append(box("cookie consent notice popup alert", f"<p>{prose(False, 2)}</p><button>{words(1, 2)}</button>" if r.random() < 0.7 else prose(False, 2), ("div", "section", "dialog")))
+            before.append(box("cookie consent notice popup alert gdpr", f"<p>{prose(False, 2)}</p><button>{words(1, 2)}</button>" if r.random() < 0.7 else prose(False, 2), ("div", "section", "dialog")))
         if r.random() < 0.35:
             (before if r.random() < 0.5 else after).append(f"<form><label>{words(1, 3)}</label><p>{sentence()}</p><button>{words(1, 2)}</button></form>")
         if r.random() < 0.45:
             inner = menu(4) if r.random() < 0.4 else f"<h3>{words(1, 4)}</h3><p>{prose(False)}</p>"
-            after.append(f"<aside>{inner}</aside>" if r.random() < 0.5 else box("sidebar related widget", inner))
+            (after if r.random() < 0.7 else before).append(f"<aside>{inner}</aside>" if r.random() < 0.5 else box("sidebar related widget side", inner))
         if r.random() < 0.45:
             inner = f"<h3>{words(1, 2)}</h3>" + "".join(r.choice([f'<div class="comment"><p>{prose(False, 4)}</p></div>', f"<p>{prose(False, 4)}</p>", f"<li>{prose(False, 3)}</li>"]) for _ in range(r.randint(1, 4)))
-            after.append(f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["class", "id"])}="comments">{inner}</{t}>')
+            after.append(f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["class", "id"])}="{r.choice(["comments", "comments", "replies", "discussion"])}">{inner}</{t}>')
         if r.random() < 0.8:
             after.append(f"<footer>{r.choice(['&copy; ' + words(1, 3) + ' &middot; ' + sentence(), '<p>' + prose(False, 2) + '</p>', menu(3)])}</footer>" if r.random() < 0.8 else box("footer copyright legal", f"<p>{sentence()}</p>", ("div",)))
         inside = f"{''.join(before)}{article}{''.join(after)}"
         if r.random() < 0.25:
-            inside = f'<div id="{r.choice(["page", "wrapper", "container", "root"])}">{inside}</div>'
-        page = f"<html><head><title>{words(2, 5)}</title></head><body>{inside}"
+            inside = f"<div{names('page wrapper container root')}>{inside}</div>"
+        page = f"<html><head><title>{words(2, 5)}</title></head><body{names('page home single') if r.random() < 0.3 else ''}>{inside}"
         pages.append((page + ("</body></html>" if number % 5 else ""), content))
     return pages
 
