@@ -1,6 +1,8 @@
 import random
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vqloom.llm import simhash
 
@@ -42,31 +44,77 @@ def test_documents_match_brute_force(spark):
     assert simhash.op6_simhash(empty(spark)).count() == 0
 
 
-def test_links_and_chains_match_brute_force(spark):
-    r = random.Random(5)
+def signed(x):
+    return x - (x >> 63 << 64)
+
+
+def chains(seed, seeds=40, most=30):
+    r = random.Random(seed)
     fps = {0}
-    for _ in range(40):
+    for _ in range(seeds):
         x = r.getrandbits(64)
         fps.add(x)
-        for _ in range(r.randint(0, 30)):  # chains of one to three flips
+        for _ in range(r.randint(0, most)):  # chains of one to three flips
             for _ in range(r.randint(1, 3)):
                 x ^= 1 << r.randrange(64)
             fps.add(x)
-    signed = {x - (x >> 63 << 64): x for x in fps}
-    pairs = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    assert all((signed[p["a"]] ^ signed[p["b"]]).bit_count() <= 2 for p in pairs.collect())
+    return fps
+
+
+@pytest.mark.parametrize("crowd,few,hot", [(64, 300_000, 1000), (3, 300_000, 1000), (64, 0, 1), (3, 0, 50)])
+def test_links_and_chains_match_brute_force(spark, monkeypatch, crowd, few, hot):
+    for name, value in (("CROWD", crowd), ("FEW", few), ("HOT", hot)):
+        monkeypatch.setattr(simhash, name, value)
+    own = {signed(x): x for x in chains(5)}
+    pairs = simhash.links(spark.createDataFrame([(x,) for x in own], "fp long"))
+    assert all((own[p["a"]] ^ own[p["b"]]).bit_count() <= 2 for p in pairs.collect())
     roots = {p["node"]: p["root"] for p in simhash.components(pairs).collect()}
-    want = slow_components([(i, x) for i, x in enumerate(signed.values())])
+    want = slow_components([(i, x) for i, x in enumerate(own.values())])
     group = {int(fp, 16): least for _, fp, least in want}
     ours = {}
-    for s, x in signed.items():
+    for s, x in own.items():
         ours.setdefault(roots.get(s, s), set()).add(group[x])
     assert all(len(v) == 1 for v in ours.values()) and len(ours) == len(set(group.values()))
 
 
+def test_pivots_discard_most_candidates_and_no_link(spark):
+    """Fingerprints that share 32 bits and differ at random in the others: only the pivot tables keep them apart."""
+    r = random.Random(3)
+    fps = set()
+    for _ in range(60):
+        head = r.getrandbits(32) << 32
+        cluster = [head | r.getrandbits(32) for _ in range(40)]
+        fps.update(cluster + [x ^ 1 << r.randrange(64) for x in cluster[:5]])
+    own = {signed(x): x for x in fps}
+    keys = simhash.keyed(spark.createDataFrame([(x,) for x in own], "fp long"))
+    sizes = keys.groupBy("band", "key").count().where("count > 1")
+    met = keys.join(sizes, ["band", "key"])
+    candidates = sum(r["count"] * (r["count"] - 1) // 2 for r in sizes.collect())
+    kept = {(p["a"], p["b"]) for p in simhash.survivors(simhash.groups(met)).collect()}
+    values = list(own.items())
+    links = {(max(a, b), min(a, b)) for i, (a, x) in enumerate(values) for b, y in values[:i] if (x ^ y).bit_count() <= 2}
+    assert candidates > 40_000 and len(kept) < candidates / 50
+    assert links <= kept
+
+
+def test_a_ball_of_near_fingerprints_makes_no_square_of_pairs(spark):
+    r = random.Random(4)
+    centre = r.getrandbits(64)
+    fps = {signed(centre ^ (1 << i) ^ (1 << j)) for i in range(64) for j in range(i)} | {signed(centre)}
+    pairs = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    assert pairs.count() < 80 * len(fps)
+    assert simhash.components(pairs).select("root").distinct().count() == 1
+
+
 def test_one_of_each(spark):
     docs = documents(spark)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted({c for _, _, c in map(tuple, simhash.op6_simhash(docs).collect()) if c is not None})
+    rows = simhash.near_dup_groups(docs).collect()
+    want = {}
+    for r in rows:
+        own = (r["doc_id"] is None, r["doc_id"] or 0, r["text_hash"])
+        want[r["root"]] = min(want.get(r["root"], own), own)
+    got = kept.select(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    assert sorted(map(tuple, got)) == sorted(want.values())
+    assert simhash.one_of_each(empty(spark)).count() == 0

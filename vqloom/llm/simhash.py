@@ -1,13 +1,15 @@
 """SimHash near-dedup with pivot distance tables.
 
 A document's fingerprint is the majority of the XXH64 bits of its shingles. Documents of one fingerprint are a class, and all later
-work is on distinct fingerprints. Two fingerprints lie within two bits exactly if flipping at most one bit of each can give the same value,
-so each emits itself and its 64 one-bit neighbours as keys: no key can gather more than 65 fingerprints, however many near copies
-there are. Each member of a key is paired with the key's smallest one (stars, not all pairs). Every fingerprint carries a
-table of its Hamming distances to PIVOTS reference fingerprints, computed once; by the triangle inequality a pair whose tables differ by more than the
-bound in any coordinate is discarded, and survivors are verified by counting bits. Components come from rounds of large and small stars.
+work is on distinct fingerprints. Two fingerprints within two bits agree in two of their four 16-bit parts at least, so each has six
+keys of 32 bits, one for each pair of parts. Every fingerprint carries a table of its Hamming distances to PIVOTS reference
+fingerprints, computed once; by the triangle inequality two members of a key whose tables differ by more than the bound in any
+coordinate are no link and are discarded inside the group, before a pair is made. Survivors are verified by counting bits.
 
-Pivot tables alone can't propose pairs at scale: distances to any reference lie near 32, so a search by them is quadratic.
+Keys with more than CROWD members take another exact way: two fingerprints lie within two bits exactly if flipping at most
+one bit of each can give the same value, so each member emits itself and its 64 one-bit neighbours. No such value can gather more than
+65 fingerprints, and each is paired with the value's smallest one only (stars, not all pairs); the tables discard nothing there.
+Components come from rounds of large and small stars.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other; ASCII letters only are lower-cased;
 repeated rows share their class; a class of null ids only has a null component_id; an empty table gives an empty result.
@@ -21,10 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import sized, spread_join, stored, whole_text
 
 SHINGLE, BOUND, PIVOTS = 3, 2, 16
 CHUNK = 1 << 15
+#: Pairs of 16-bit parts that make a key, and the members up to which a key's members are compared with each other.
+PARTS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+CROWD = 64
+#: Tables of at most so many short rows are broadcast; beyond that, the keys that hold more than one row in HOT.
+FEW = 300_000
+HOT = 1000
 
 
 def fingerprint(text: str, k: int = SHINGLE) -> int:
@@ -62,48 +70,95 @@ def pivot_table(fp: Column) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
 
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def keyed(fps: DataFrame) -> DataFrame:
+    """fp, band, key: the six keys of every fingerprint."""
+    masks = [_signed(sum(0xFFFF << 16 * p for p in pair)) for pair in PARTS]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
+    return fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
+
+
+def groups(members: DataFrame) -> DataFrame:
+    """band, key, members: an array of fingerprints, sorted, with their distances to the pivots; of keys with CROWD members at most."""
+    table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"p{i}") for i, p in enumerate(pivots())]
+    return members.groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("fp", *table))).alias("members"))
+
+
+def survivors(groups: DataFrame, bound: int = BOUND) -> DataFrame:
+    """Pairs (a, b), a > b, of members whose tables differ by `bound` at most in every coordinate."""
+
+    def near(x: Column, y: Column) -> Column:
+        out = F.lit(True)
+        for i in range(PIVOTS):
+            out = out & (F.abs(x[f"p{i}"] - y[f"p{i}"]) <= bound)
+        return out
+
+    def later(x: Column, i: Column) -> Column:
+        rest = F.slice("members", i + 2, F.size("members"))
+        return F.transform(F.filter(rest, lambda y: near(x, y)), lambda y: F.struct(y["fp"].alias("a"), x["fp"].alias("b")))
+
+    return groups.select(F.explode(F.flatten(F.transform("members", later))).alias("p")).select("p.a", "p.b")
+
+
+def crowded(fps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, by shared one-bit neighbours: each member of a value with the smallest one."""
+    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = fps.repartition(n).select("fp", F.explode(F.array(*flips)).alias("key"))
+    least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
+    return keys.join(least, "key").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+
+
 def links(fps: DataFrame, bound: int = BOUND) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints `fp`, a > b, within 2 bits; enough of them to connect all that are."""
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(int(np.uint64(1 << i).astype(np.int64)))) for i in range(64)]
-    keys = fps.select("fp", F.explode(F.array(*flips)).alias("key"))
-    least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
-    pairs = keys.join(least, "key").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
-    tables = pairs.select("a", "b", pivot_table(F.col("a")).alias("s"), pivot_table(F.col("b")).alias("t"))
-    near = tables.where(F.array_max(F.zip_with("s", "t", lambda x, y: F.abs(x - y))) <= bound)
-    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bound).select("a", "b")
+    keys = stored(keyed(fps), "keys")
+    sizes = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("*", F.col("n").alias("weight")), "key-sizes")
+    met = stored(spread_join(keys, sizes, ["band", "key"], "weight", FEW, hot=HOT), "members")
+    few = survivors(groups(met.where(F.col("n") <= CROWD)), bound)
+    many = crowded(stored(met.where(F.col("n") > CROWD).select("fp").distinct(), "crowds"))
+    tables = many.select("a", "b", pivot_table(F.col("a")).alias("s"), pivot_table(F.col("b")).alias("t"))
+    near = tables.where(F.array_max(F.zip_with("s", "t", lambda x, y: F.abs(x - y))) <= bound).select("a", "b")
+    return few.unionByName(near).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bound).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node of a pair (a, b).
 
     Alternates large stars (each node's greater neighbours to its least one) and small stars (the rest)
-    until nothing moves; the number of rounds grows with the logarithm of the longest chain.
+    until nothing moves; the number of rounds grows with the logarithm of the longest chain. A node with very many
+    neighbours is broadcast rather than gathered.
     """
-    edges = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
+    edges = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    state, size = None, edges.count()
     while True:
+        few = size <= FEW  # then no node has many neighbours, and a round is one plan
+        keep = (lambda df, name: df) if few else stored
+        meet = (lambda left, right: left.join(right.drop("n"), "a")) if few else (lambda left, right: spread_join(left, right, ["a"], "n", FEW, hot=HOT))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        root = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(root, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
+        root = keep(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "roots")
+        large = keep(meet(both, root).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-stars")
+        low = keep(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = meet(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        edges = stored(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        state = now
+        state, size = now, now[0]
 
 
 def near_dup_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """doc_id, fp, text_hash, root (the least fingerprint of the group) and component_id for every row."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = stored(with_fingerprint(own.withColumn("text_hash", F.xxhash64(whole_text())), "text").select("doc_id", "text_hash", "fp"), "fingerprints")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(whole, "fp").select("doc_id", "fp", "component_id")
+    rooted = stored(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight")), "named")
+    whole = stored(spread_join(rooted, named, ["root"], "weight", FEW, hot=HOT).select("fp", "n", "root", "component_id"), "components")
+    return spread_join(marked, whole, ["fp"], "n", FEW, hot=HOT).select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
@@ -111,15 +166,21 @@ def op6_simhash(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with its own columns: the smallest doc_id.
+    """One document of each near-duplicate group, with its own columns: the smallest doc_id (rows without one last), of several texts with this id the least text hash.
 
-    Of rows that repeat this doc_id, one stays (the least text hash); rows without any id in their group stay.
+    Of rows that repeat this id and text, one stays. Only the ids and hashes of rows that go (or repeat) meet the documents, so that texts
+    stay where they are while that list is small.
     """
-    groups = near_dup_groups(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_vq_id"), "component_id")
-    kept = groups.where(F.col("_vq_id") == F.col("component_id")).groupBy("_vq_id").agg(F.count("*").alias("_vq_rows"))
-    joined = docs.join(kept, docs.doc_id == F.col("_vq_id"), "left").where("_vq_id is not null or doc_id is null").drop("_vq_id")
-    once = joined.where("_vq_rows is null or _vq_rows = 1").drop("_vq_rows")
-    again = joined.where("_vq_rows > 1").drop("_vq_rows")
-    columns = [f"`{c}`" for c in docs.columns]
-    pick = again.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(whole_text())).alias("_vq_row")).select("_vq_row.*")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    own = near_dup_groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    own = stored(own, "grouped")
+    first = stored(own.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")), "firsts")
+    fate = spread_join(own, first, ["root"], "n", FEW, hot=HOT).withColumn("goes", rank != F.col("first"))
+    fate = fate.where("goes or rows > 1").select(F.col("doc_id").alias("_vq_id"), F.col("text_hash").alias("_vq_hash"), F.col("goes").alias("_vq_goes"))
+    fate = sized(stored(fate, "fates"), FEW)
+    columns = docs.columns
+    joined = docs.join(fate, docs.doc_id.eqNullSafe(F.col("_vq_id")) & (F.xxhash64(whole_text()) == F.col("_vq_hash")), "left")
+    once = joined.where("_vq_hash is null").select(*columns)
+    again = joined.where("not _vq_goes").select(*[F.col(c) for c in columns], F.col("_vq_hash"))
+    pick = again.groupBy("doc_id", "_vq_hash").agg(F.min(F.struct(*[f"`{c}`" for c in columns])).alias("_vq_row")).select("_vq_row.*")
     return once.unionByName(pick)
