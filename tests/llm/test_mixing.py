@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vqloom.llm import mixing
@@ -85,3 +86,20 @@ def test_flow_cost_matches_exhaustive_search():
                 best = min(best, key) if best else key
         ours = [sum(f.values()) for f in flow]
         assert abs(sum(ours) + best[0]) < 1e-6 and abs(cost(ours) - best[1]) < 1e-6
+
+
+def test_texts_of_one_id_and_length_are_told_apart(spark):
+    """Where the cut falls between them, each text of an id gets its own answer."""
+    docs = [(7, f"{chr(97 + i % 26)}{i} b c d", "a") for i in range(40)] + [(i, "x y", "b") for i in range(10)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = {r["text"]: r["taken"] for r in mixing.mix(docs, F.array("source"), key=("text",)).collect()}
+    passes = {r["text"]: r["count"] for r in mixing.mixed(docs).where("doc_id = 7 and source = 'a'").groupBy("text").count().collect()}
+    assert len({v for k, v in taken.items() if k != "x y"}) > 1
+    assert passes == {k: (v + 2) // 4 for k, v in taken.items() if k != "x y" and v * 2 >= 4}
+
+
+def test_too_many_patterns_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST", 3)
+    docs = spark.createDataFrame([(i, "a", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.op9_mixing(docs)

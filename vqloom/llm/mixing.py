@@ -3,8 +3,11 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Each pattern can send its tokens REPEATS times:
 the first pass is free, each further one costs more (convex), so that the flow repeats text only where a quota asks for it.
 Quotas are the sources' targets. The flow's share of a pattern becomes whole passes over its documents plus a rest; the rest goes to
-the documents in seeded hash order, found by cutting a histogram of hash bytes level by level, so no task
-and no driver ever sees a source's documents together. The document at the cut takes part of one more pass.
+the documents in seeded hash order, found by cutting a histogram of hash bytes level by level, 256 buckets at a time, so no task
+and no driver ever sees a source's documents together. The document at the cut takes part of one more pass. What a document gives
+then follows from its own row and one small row of its pattern, so texts never move.
+
+The flow runs on the driver over the patterns, of which there may be MOST; with more, an error says so, as nothing may be left out.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated rows are documents
 of their own, and rows equal in id and text tie in the order and share the rest of the cut; an empty table gives an empty result.
@@ -24,6 +27,8 @@ REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 17
 LEVELS = 4
+#: Patterns of sources that the driver solves the flow for.
+MOST = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -125,85 +130,116 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[floa
     return [dict(f) for f in flow]
 
 
-def _cut_rests(docs: DataFrame, rests: DataFrame, seed: int) -> DataFrame:
-    """Adds `extra` to every document: its words in the rest of its pattern.
+def _passed(rows: DataFrame, bucket: Column) -> DataFrame:
+    """pat, at, left: of each pattern the bucket (256 at most) in which its running size passes `left`, and what is left before it."""
+    sums = rows.groupBy("pat", bucket.alias("at")).agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+    run = F.sum("size").over(Window.partitionBy("pat").orderBy("at"))
+    passed = sums.withColumn("run", run).where((F.col("run") > F.col("left")) & (F.col("run") - F.col("size") <= F.col("left")))
+    found = passed.groupBy("pat").agg(F.min_by(F.struct("at", (F.col("left") - F.col("run") + F.col("size")).alias("left"), "size"), "at").alias("b"))
+    return found.select("pat", "b.*")
+
 
-    `docs` has pat, size, u (a long hash in seeded order); `rests` has pat and rest. Level by level the bucket of
-    16 bits in which a pattern's running size passes its rest is found from a histogram; documents before it are in, those
-    behind it are out, and after LEVELS levels the documents of one hash value are left, which share what is left.
+def _edges(thin: DataFrame, rests: DataFrame) -> list[tuple]:
+    """(pat, edge, part, tied) of each pattern with a rest: documents before the hash `edge` are in it, those at it share `part` words of `tied`.
+
+    `thin` has pat, size, u (a long hash in seeded order); `rests` has pat and rest. Level by level the bucket of 16 bits in which
+    a pattern's running size passes its rest is found from a histogram, first by its upper and then by its lower 8 bits.
     """
-    spark = docs.sparkSession
+    spark = thin.sparkSession
     bounds = rests.select("pat", F.col("rest").cast("long").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    rows: list[tuple] = []
     for level in range(LEVELS):
         shift = 64 - 16 * (level + 1)
-        own = F.shiftrightunsigned("u", shift)
-        inside = docs.join(F.broadcast(bounds.select("pat", "left", "prefix")), "pat")
+        inside = thin.join(F.broadcast(bounds), "pat")
         if level:
             inside = inside.where(F.shiftrightunsigned("u", shift + 16) == F.col("prefix"))
-        histogram = inside.groupBy("pat", own.alias("bucket")).agg(F.sum("size").alias("size"), F.first("left").alias("left"))
-        # The running size per pattern over at most 65,536 buckets.
-        run = F.sum("size").over(Window.partitionBy("pat").orderBy("bucket"))
-        passed = histogram.withColumn("run", run).where((F.col("run") > F.col("left")) & (F.col("run") - F.col("size") <= F.col("left")))
-        found = passed.groupBy("pat").agg(F.min_by(F.struct((F.col("left") - F.col("run") + F.col("size")).alias("left"), F.col("bucket").alias("prefix"), F.col("size").alias("size")), "bucket").alias("b"))
-        rows = found.select("pat", "b.left", "b.prefix", "b.size").collect()
-        if not rows:
-            bounds = None
-            break
-        bounds = spark.createDataFrame([tuple(r) for r in rows], "pat int, left long, prefix long, size long")
-    if bounds is None:
-        return docs.withColumn("extra", F.lit(0).cast("long"))
-    edge = bounds.select("pat", F.col("prefix").alias("edge"), F.col("left").alias("part"), F.col("size").alias("tied"))
-    joined = docs.join(F.broadcast(edge), "pat", "left")
-    before = F.col("u").bitwiseXOR(F.lit(-(1 << 63))) < F.col("edge").bitwiseXOR(F.lit(-(1 << 63)))
-    extra = F.when(F.col("edge").isNull(), 0).when(before, F.col("size")).when(F.col("u") == F.col("edge"), F.floor(F.col("part") * F.col("size") / F.col("tied"))).otherwise(0)
-    return joined.withColumn("extra", extra.cast("long")).drop("edge", "part", "tied")
+        histogram = cut(inside.groupBy("pat", F.shiftrightunsigned("u", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.first("left").alias("left")))
+        high = F.shiftright("bucket", 8)
+        coarse = [tuple(r) for r in _passed(histogram, high).select("pat", "at", "left").collect()]
+        if not coarse:
+            return []
+        upper = F.broadcast(spark.createDataFrame(coarse, "pat int, at long, left long"))
+        within = histogram.drop("left").join(upper, "pat").where(high == F.col("at"))
+        rows = [tuple(r) for r in _passed(within.select("pat", "bucket", "size", "left"), F.col("bucket")).select("pat", "left", "at", "size").collect()]
+        bounds = spark.createDataFrame([r[:3] for r in rows], "pat int, left long, prefix long")
+    return [(pat, edge, left, size) for pat, left, edge, size in rows]
 
 
-def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text", weights: tuple = WEIGHTS, seed: int = SEED, key: tuple = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and `key` columns) for every row; `sources` is an array of source names.
+def _thin(docs: DataFrame, sources: Column, doc_id: str, text: str, seed: int) -> DataFrame:
+    """`docs` with the pattern's mark, the size and the seeded hash of each row (prefixed _vq_)."""
+    names = F.array_sort(F.array_distinct(sources))
+    return docs.withColumns({"_vq_sources": names, "_vq_size": words_of(whole_text(text)), "_vq_u": F.xxhash64(F.lit(seed), doc_id, whole_text(text))})
+
+
+def _mark(sources: str) -> Column:
+    """A pattern as text, with nulls marked, as null names match too."""
+    return F.to_json(F.struct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("null"))).alias("s")))
+
 
-    source_size and target are those of the document's first source by name.
+def solve(thin: DataFrame, weights: tuple = WEIGHTS) -> DataFrame | None:
+    """One row for each pattern (mark, pat, passes, source_size, target, edge, part, tied), MOST at most; None without documents.
+
+    source_size and target are those of the pattern's first source by name.
     """
-    sized = docs.select(*key, F.col(doc_id).alias("doc_id"), F.array_sort(F.array_distinct(sources)).alias("sources"), words_of(whole_text(text)).alias("size"), F.xxhash64(F.lit(seed), doc_id, whole_text(text)).alias("u"))
-    sized = cut(sized)
-    # One row for each pattern: as many as there are combinations of sources, whatever the corpus.
-    rows = [(tuple(r["sources"]), r["size"]) for r in sized.groupBy("sources").agg(F.sum("size").alias("size")).collect()]
+    spark = thin.sparkSession
+    rows = [(tuple(r["sources"]), r["size"]) for r in thin.groupBy(F.col("_vq_sources").alias("sources")).agg(F.sum("_vq_size").alias("size")).limit(MOST + 1).collect()]
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} combinations of sources: group them, as the flow is solved over each of them")
     if not rows:
-        return sized.select(*key, "doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return None
     rows.sort(key=lambda r: tuple((s is None, (s or "").encode()) for s in r[0]))
     names = sorted({s for r in rows for s in r[0]}, key=lambda s: (s is None, (s or "").encode("utf-8")))
     place = {s: i for i, s in enumerate(names)}
-    sizes = [sum(n for own, n in rows if s in own) for s in names]
+    sizes = [0] * len(names)
+    for own, n in rows:
+        for s in own:
+            sizes[place[s]] += n
     shares = [weights[i % len(weights)] for i in range(len(names))]
     total = sum(n for _, n in rows)
     goal = targets([min(s, total) for s in sizes], shares)
     flows = min_cost_flow([(tuple(place[s] for s in own), n) for own, n in rows], goal)
-    sent = [sum(f.values()) for f in flows]
     plan = []
-    for i, ((own, n), out) in enumerate(zip(rows, sent, strict=True)):
-        out = min(round(out), REPEATS * n)
+    for i, ((own, n), flow) in enumerate(zip(rows, flows, strict=True)):
+        out = min(round(sum(flow.values())), REPEATS * n)
         passes = out // n if n else 0
         plan.append((list(own), i, passes, out - passes * n, sizes[place[own[0]]] if own else 0, goal[place[own[0]]] if own else 0.0))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(plan, "sources array<string>, pat int, passes long, rest long, source_size long, target double")
-    # Null names match too, so the pattern's key is its text with nulls marked.
-    mark = F.to_json(F.struct(F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("null"))).alias("s")))
-    known = table.withColumn("mark", mark).drop("sources")
-    ready = sized.withColumn("mark", mark).join(F.broadcast(known), "mark").drop("mark", "sources", "rest")
-    done = _cut_rests(ready, table.select("pat", "rest"), seed)
-    return done.select(*key, "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"))
+    table = spark.createDataFrame(plan, "sources array<string>, pat int, passes long, rest long, source_size long, target double").withColumn("mark", _mark("sources")).drop("sources")
+    known = thin.select(_mark("_vq_sources").alias("mark"), F.col("_vq_size").alias("size"), F.col("_vq_u").alias("u")).join(F.broadcast(table.select("mark", "pat")), "mark").select("pat", "size", "u")
+    edges = spark.createDataFrame(_edges(known, table.select("pat", "rest")), "pat int, edge long, part long, tied long")
+    return table.drop("rest").join(F.broadcast(edges), "pat", "left")
+
+
+def _taken(marked: DataFrame, solved: DataFrame) -> DataFrame:
+    """Rows of `_thin` with _vq_taken, _vq_source_size and _vq_target."""
+    own = solved.select(*[F.col(c).alias(f"_vq_{c}") for c in solved.columns])
+    joined = marked.withColumn("_vq_mark", _mark("_vq_sources")).join(F.broadcast(own), "_vq_mark")
+    top = F.lit(-(1 << 63))
+    before = F.col("_vq_u").bitwiseXOR(top) < F.col("_vq_edge").bitwiseXOR(top)
+    shared = F.floor(F.col("_vq_part") * F.col("_vq_size") / F.col("_vq_tied"))
+    extra = F.when(F.col("_vq_edge").isNull(), 0).when(before, F.col("_vq_size")).when(F.col("_vq_u") == F.col("_vq_edge"), shared).otherwise(0)
+    return joined.withColumn("_vq_taken", F.col("_vq_passes") * F.col("_vq_size") + extra.cast("long"))
+
+
+def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text", weights: tuple = WEIGHTS, seed: int = SEED, key: tuple = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and `key` columns) for every row; `sources` is an array of source names."""
+    thin = cut(_thin(docs, sources, doc_id, text, seed).select(*key, F.col(doc_id).alias("doc_id"), "_vq_sources", "_vq_size", "_vq_u"))
+    solved = solve(thin, weights)
+    if solved is None:
+        return thin.select(*key, "doc_id", *[F.lit(0).cast(t).alias(c) for c, t in (("size", "long"), ("source_size", "long"), ("target", "double"), ("taken", "long"))])
+    done = _taken(thin, solved)
+    return done.select(*key, "doc_id", *[F.col(f"_vq_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs, F.array("source"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix with their own columns: one row for each pass; the part of a pass at a cut counts from one half."""
-    taken = mix(docs, F.array("source"), key=()).select(F.col("doc_id").alias("_vq_id"), "size", "taken")
-    # Rows of one id and text tie in the seeded order, so they have one answer.
-    passes = taken.groupBy("_vq_id", "size").agg(F.max("taken").alias("taken")).where("taken * 2 >= size and size > 0")
-    passes = passes.select("_vq_id", F.col("size").alias("_vq_size"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("_vq_passes"))
-    columns = [F.col(c) for c in docs.columns]
-    joined = docs.join(passes, docs.doc_id.eqNullSafe(F.col("_vq_id")) & (words_of(whole_text()) == F.col("_vq_size")))
-    return joined.withColumn("_vq_pass", F.explode(F.sequence(F.lit(1), "_vq_passes"))).select(*columns)
+    marked = _thin(docs, F.array("source"), "doc_id", "text", seed)
+    solved = solve(cut(marked.select("_vq_sources", "_vq_size", "_vq_u")))
+    if solved is None:
+        return docs
+    passes = F.floor((F.col("_vq_taken") + F.col("_vq_size") / 2) / F.col("_vq_size")).cast("int")
+    done = _taken(marked, solved).where("_vq_size > 0 and _vq_taken * 2 >= _vq_size")
+    return done.withColumn("_vq_pass", F.explode(F.sequence(F.lit(1), passes))).select(*docs.columns)
