@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vqloom.llm import linededup, mixing, sentencepiece_codec, simhash, toxicity
-from vqloom.llm.common import shared_path, table
+from vqloom.llm.common import remove, shared_path, table
 from vqloom.llm.queries import piece_model
 
 
@@ -41,10 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    base = shared_path(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
-        out = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+    """The last stage's rows. A stage's table is removed once the next one is written; the last one goes when the driver ends."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        out = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            remove(spark, last)
+        last = out
     return docs
