@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def finite(vec: Column) -> Column:
-    """No component is NaN, infinite or null."""
-    return F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    """There is a vector, and no component is NaN, infinite or null."""
+    return F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
 
 
 def has_nan(vec: Column) -> Column:
-    return F.exists(vec, F.isnan)
+    """A component is NaN or null, or there is no vector."""
+    return F.coalesce(F.exists(vec, lambda x: x.isNull() | F.isnan(x)), F.lit(True))
 
 
 def total(vec: Column) -> Column:
@@ -64,15 +65,17 @@ def unmorton(code: Column, odd: bool, bits: int = 16) -> Column:
     return out
 
 
-def hilbert(row: Column, col: Column, order: int) -> Column:
+def hilbert(row: Column, col: Column, order: Column | int) -> Column:
     """Distance along the Hilbert curve of a 2^order square; x is the column, y the row.
 
     Each level adds its quadrant and turns the rest of the square: reflected in quadrant (1, 0), then transposed in both lower ones.
     The state goes through an aggregate, so the plan stays small.
     """
-    top = (1 << order) - 1
+    order = F.lit(order) if isinstance(order, int) else order
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+    top = power(order) - 1
     start = F.struct(col.cast("long").alias("x"), row.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-    sides = F.array(*[F.lit(1 << k).cast("long") for k in range(order - 1, -1, -1)])
+    sides = F.transform(F.sequence(order - 1, F.lit(0), F.lit(-1)), power)
 
     def level(s: Column, side: Column) -> Column:
         rx = (s["x"].bitwiseAND(side) != 0).cast("long")

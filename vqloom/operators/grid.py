@@ -10,6 +10,11 @@ from ..functions import vec as V
 TILE = ("tile_row", "tile_col")
 
 
+def tile_keys(df: DataFrame) -> list[str]:
+    """What tells tiles apart: their place, in tables with windows also the window."""
+    return [*(c for c in ("window_id",) if c in df.columns), *TILE]
+
+
 def pixels(embeddings: DataFrame, width: int = 20) -> DataFrame:
     """The embeddings table as one window of `width` columns."""
     return embeddings.select(F.lit("w0").alias("window_id"), F.expr(f"vec_id div {width}").alias("row"), F.expr(f"vec_id % {width}").alias("col"), F.col("embedding").cast("array<double>").alias("vec"), "vec_id", "label")
@@ -20,19 +25,23 @@ def tiled(px: DataFrame, t: int) -> DataFrame:
 
 
 def full_tiles(px: DataFrame, t: int) -> DataFrame:
-    """Pixels of the complete t x t tiles whose every value is finite; partial edges go."""
-    good = tiled(px, t).groupBy(*TILE).agg(F.count("*").alias("n"), F.bool_and(V.finite(F.col("vec"))).alias("ok")).where(f"n = {t * t} and ok").select(*TILE)
-    return tiled(px, t).join(good, list(TILE), "left_semi")
+    """Pixels of the complete t x t tiles whose every value is finite; partial edges, and tiles with a null vector, go."""
+    own = tiled(px, t)
+    keys = tile_keys(own)
+    good = own.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(V.finite(F.col("vec"))).alias("ok")).where(f"n = {t * t} and ok").select(*keys)
+    return own.join(good, keys, "left_semi")
 
 
 def grid_tiles(px: DataFrame, t: int) -> DataFrame:
-    """Kept tiles with their ordinal in row-major order."""
-    tiles = full_tiles(px, t).groupBy(*TILE).agg(F.count("*").alias("n_pixels"))
-    return tiles.withColumn("subtile", (F.row_number().over(Window.orderBy(*TILE)) - 1).cast("long"))
+    """Kept tiles with their ordinal in row-major order, in each window."""
+    tiles = full_tiles(px, t)
+    keys = tile_keys(tiles)
+    within = Window.partitionBy(*keys[:-2]).orderBy(*TILE)
+    return tiles.groupBy(*keys).agg(F.count("*").alias("n_pixels")).withColumn("subtile", (F.row_number().over(within) - 1).cast("long"))
 
 
 def nan_gate(px: DataFrame, by: str, most: float) -> DataFrame:
-    """Groups whose share of pixels with a NaN is at most `most`."""
+    """Groups whose share of pixels with a NaN, or without a vector, is at most `most`."""
     return px.groupBy(by).agg(F.avg(V.has_nan(F.col("vec")).cast("int")).alias("nan_share")).where(F.col("nan_share") <= most)
 
 
@@ -47,17 +56,60 @@ def bounded_sample(df: DataFrame, group: str, key: str, most: int, seed: int) ->
     return df.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= most).drop("_no")
 
 
-def tile_select(px: DataFrame, candidates: DataFrame, t: int, least: float) -> DataFrame:
-    """Of the candidate origins (row0, col0) the best by finite share, then row, then column, and the best one that does not overlap it.
+def extents(px: DataFrame) -> DataFrame:
+    """window_id, h, w of each window."""
+    return px.groupBy("window_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+
+
+def candidate_origins(sizes: DataFrame, t: int, n: int = 24, seed: int = 42) -> DataFrame:
+    """window_id, row0, col0: up to n distinct origins about each window's centre, moved by t div 2 at most either way in a seeded way and kept inside.
+
+    Windows smaller than a tile have none. The moves come from an arithmetic rule, so that any engine can compute them.
+    """
+    reach = t // 2
+    move = lambda a, b: f"(no * {a} + {seed * b}) % 104729 % {2 * reach + 1} - {reach}"
+    inside = lambda size, m: F.expr(f"greatest(0L, least({size} - {t}, ({size} - {t}) div 2 + {m}))")
+    all_ = sizes.where(f"h >= {t} and w >= {t}").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("no"))
+    return all_.select("window_id", inside("h", move(7919, 31)).alias("row0"), inside("w", move(6547, 17)).alias("col0")).distinct()
+
+
+def tile_select(px: DataFrame, candidates: DataFrame, t: int, least: float = 1.0, n_tiles: int = 2) -> DataFrame:
+    """Of each window's candidate origins (window_id, row0, col0) up to n_tiles that do not overlap: best by finite share, then greatest row, then column.
 
     Pixels meet candidates by an equi-join on the tile cells a footprint can touch, so the range join never scans all pairs.
+    The greedy choice looks at one window's candidates, a bounded list.
+    """
+    cells = candidates.select("window_id", "row0", "col0", F.explode(F.expr(f"array(row0 div {t}, row0 div {t} + 1)")).alias("tile_row")).select("*", F.explode(F.expr(f"array(col0 div {t}, col0 div {t} + 1)")).alias("tile_col"))
+    hit = tiled(px, t).select("window_id", *TILE, "row", "col", V.has_nan(F.col("vec")).alias("bad")).join(cells, ["window_id", *TILE]).where(f"row between row0 and row0 + {t - 1} and col between col0 and col0 + {t - 1}")
+    scored = hit.groupBy("window_id", "row0", "col0").agg((F.sum((~F.col("bad")).cast("long")) / F.lit(float(t * t))).alias("finite_frac")).where(F.col("finite_frac") >= least)
+    ranked = scored.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("finite_frac", "row0", "col0")), asc=False).alias("all"))
+    apart = lambda x: lambda s: (F.abs(s["row0"] - x["row0"]) >= t) | (F.abs(s["col0"] - x["col0"]) >= t)
+    none = F.slice("all", 1, 0)
+    chosen = F.aggregate("all", none, lambda got, x: F.when((F.size(got) < n_tiles) & F.forall(got, apart(x)), F.concat(got, F.array(x))).otherwise(got))
+    return ranked.select("window_id", F.explode(chosen).alias("s")).select("window_id", "s.row0", "s.col0", "s.finite_frac")
+
+
+def cut_out(px: DataFrame, chosen: DataFrame, t: int) -> DataFrame:
+    """Pixels of the chosen tiles with places inside them; tile_row and tile_col are the origins."""
+    cells = chosen.select("window_id", "row0", "col0", F.explode(F.expr(f"array(row0 div {t}, row0 div {t} + 1)")).alias("tile_row")).select("*", F.explode(F.expr(f"array(col0 div {t}, col0 div {t} + 1)")).alias("tile_col"))
+    hit = tiled(px, t).join(cells, ["window_id", *TILE]).where(f"row between row0 and row0 + {t - 1} and col between col0 and col0 + {t - 1}")
+    return hit.select("window_id", F.col("row0").alias("tile_row"), F.col("col0").alias("tile_col"), (F.col("row") - F.col("row0")).alias("row"), (F.col("col") - F.col("col0")).alias("col"), "vec")
+
+
+def carve(px: DataFrame, t: int, n: int, seed: int) -> DataFrame:
+    """Pixels of up to n finite t x t tiles of each window, picked on the grid in seeded order before the finite test; places inside the tile.
+
+    A tile as large as the window or larger gives way to one square block: its side is the window's shorter side.
     """
-    cells = candidates.select("row0", "col0", F.explode(F.expr(f"array(row0 div {t}, row0 div {t} + 1)")).alias("tile_row")).select("*", F.explode(F.expr(f"array(col0 div {t}, col0 div {t} + 1)")).alias("tile_col"))
-    hit = tiled(px, t).join(cells, list(TILE)).where(f"row between row0 and row0 + {t - 1} and col between col0 and col0 + {t - 1}")
-    scored = hit.groupBy("row0", "col0").agg((F.sum((~V.has_nan(F.col("vec"))).cast("long")) / F.lit(float(t * t))).alias("finite_frac")).where(F.col("finite_frac") >= least)
-    best = scored.orderBy(F.desc("finite_frac"), F.desc("row0"), F.desc("col0")).limit(1)
-    far = scored.join(F.broadcast(best.select(F.col("row0").alias("r"), F.col("col0").alias("c"))), (F.abs(F.col("row0") - F.col("r")) >= t) | (F.abs(F.col("col0") - F.col("c")) >= t)).select("row0", "col0", "finite_frac")
-    return best.unionByName(far.orderBy(F.desc("finite_frac"), F.desc("row0"), F.desc("col0")).limit(1))
+    sizes = extents(px).select("window_id", "h", "w", F.expr(f"if({t} >= h or {t} >= w, least(h, w), {t}L)").alias("t"))
+    own = px.join(F.broadcast(sizes), "window_id").withColumns({"tile_row": F.expr("row div t"), "tile_col": F.expr("col div t")})
+    own = own.where("t > 0 and (tile_row + 1) * t <= h and (tile_col + 1) * t <= w")
+    cells = own.select("window_id", *TILE).distinct().withColumn("key", F.expr("tile_row * 100 + tile_col"))
+    order = Window.partitionBy("window_id").orderBy(seeded("key", seed), *TILE)
+    picked = cells.withColumn("no", F.row_number().over(order)).where(F.col("no") <= n).select("window_id", *TILE)
+    mine = own.join(picked, ["window_id", *TILE], "left_semi")
+    good = mine.groupBy("window_id", *TILE).agg(F.count("*").alias("n"), F.bool_and(V.finite(F.col("vec"))).alias("ok"), F.first("t").alias("side")).where("ok and n = side * side").select("window_id", *TILE)
+    return mine.join(good, ["window_id", *TILE], "left_semi").select("window_id", *TILE, F.expr("row - tile_row * t").alias("row"), F.expr("col - tile_col * t").alias("col"), "vec")
 
 
 def group_split(groups: DataFrame, group: str, share: float, seed: int) -> DataFrame:

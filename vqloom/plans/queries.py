@@ -11,8 +11,11 @@ from ..functions import vec as V
 from ..operators import codec as C
 from ..operators import grid as G
 from ..operators import metrics as M
+from ..operators import payload as P
 from ..operators import quantize as Q
-from ..sources import sinks
+from ..operators import sampling as S
+from ..sources import raster, sinks
+from . import studies as T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +25,11 @@ _PX = "px AS (SELECT vec_id, vec_id // 20 AS row, vec_id % 20 AS col, label::BIG
 _HOLES = "px AS (SELECT vec_id, vec_id // 20 AS row, vec_id % 20 AS col, label::BIGINT AS label, [CASE WHEN vec_id % 97 = 0 THEN 'nan'::DOUBLE ELSE x::DOUBLE END FOR x IN embedding] AS v FROM embeddings)"
 
 
+#: px in windows of ten rows; in SQL a window's rows start at a thousand times its number.
+_WIN = "px AS (SELECT vec_id, (vec_id // 200) * 1000 + vec_id // 20 % 10 AS row, vec_id % 20 AS col, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings)"
+_WIN_HOLES = _WIN.replace("[x::DOUBLE FOR", "[CASE WHEN vec_id % 97 = 0 THEN 'nan'::DOUBLE ELSE x::DOUBLE END FOR")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -42,13 +50,18 @@ def px(spark: SparkSession, sf: str, holes: bool = False) -> DataFrame:
     return out.withColumn("vec", F.when(F.col("vec_id") % 97 == 0, bad).otherwise(F.col("vec"))) if holes else out
 
 
+def windows(spark: SparkSession, sf: str, holes: bool = False) -> DataFrame:
+    cut = px(spark, sf, holes).withColumn("window_id", F.concat(F.lit("w"), F.lpad(F.expr("cast(row div 10 as string)"), 6, "0")))
+    return cut.withColumn("row", F.col("row") % 10)
+
+
 def r6(col: str):
     return F.round(col, 6).alias(col)
 
 
 def tiles_sql(t: int, source: str = "px") -> str:
     """tl: pixels of complete finite tiles."""
-    return f"tl AS (SELECT row // {t} AS tr, col // {t} AS tc, row, col, v, label FROM {source} WHERE (row // {t}, col // {t}) IN (SELECT (row // {t}, col // {t}) FROM {source} GROUP BY row // {t}, col // {t} HAVING count(*) = {t * t} AND bool_and(list_bool_and([isfinite(x) FOR x IN v]))))"
+    return f"tl AS (SELECT row // {t} AS tr, col // {t} AS tc, * EXCLUDE (vec_id) FROM {source} WHERE (row // {t}, col // {t}) IN (SELECT (row // {t}, col // {t}) FROM {source} GROUP BY row // {t}, col // {t} HAVING count(*) = {t * t} AND bool_and(list_bool_and([isfinite(x) FOR x IN v]))))"
 
 
 def kmeans_sql(name: str, source: str, k: int, iters: int = 2) -> str:
@@ -95,7 +108,7 @@ def rvq(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_HOLES}, {tiles_sql(5)} SELECT tr AS tile_row, tc AS tile_col, count(*) AS n_pixels, row_number() OVER (ORDER BY tr, tc) - 1 AS subtile FROM tl GROUP BY tr, tc")
 def grid_tiles(spark, sf):
-    return G.grid_tiles(px(spark, sf, True), 5)
+    return G.grid_tiles(px(spark, sf, True), 5).select(*G.TILE, "n_pixels", "subtile")
 
 
 @query(f"WITH {_HOLES} SELECT row // 5 AS band, avg(list_bool_or([isnan(x) FOR x IN v])::INT) AS nan_share FROM px GROUP BY 1 HAVING avg(list_bool_or([isnan(x) FOR x IN v])::INT) <= 0.01")
@@ -113,28 +126,37 @@ def bounded_sample(spark, sf):
     return G.bounded_sample(load(spark, sf, "events"), "event_type", "event_id", 50, 42).select("event_type", "event_id")
 
 
-_CAND = "cand AS (SELECT DISTINCT least(greatest((i * 7) % 23, 0), 20) AS row0, least((i * 5) % 19, 15) AS col0 FROM range(24) g(i))"
+def selected_sql(t: int, least: float, reach: int) -> str:
+    """two: win, row0, col0, finite_frac of the best tile of each window and the best one beside it."""
+    move = lambda a, b: f"(no * {a} + {42 * b}) % 104729 % {2 * reach + 1} - {reach}"
+    inside = lambda size, m: f"greatest(0, least({size} - {t}, ({size} - {t}) // 2 + {m}))"
+    return f"""ext AS (SELECT row // 1000 AS win, max(row % 1000) + 1 AS h, max(col) + 1 AS w FROM px GROUP BY 1),
+cand AS (SELECT DISTINCT win, {inside("h", move(7919, 31))} AS row0, {inside("w", move(6547, 17))} AS col0 FROM ext, range(24) g(no) WHERE h >= {t} AND w >= {t}),
+sc AS (SELECT win, row0, col0, sum(NOT list_bool_or([isnan(x) FOR x IN v]))::DOUBLE / {t * t} AS finite_frac FROM cand JOIN px ON row // 1000 = win AND row % 1000 BETWEEN row0 AND row0 + {t - 1} AND col BETWEEN col0 AND col0 + {t - 1} GROUP BY 1, 2, 3 HAVING finite_frac >= {least}),
+b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY win ORDER BY finite_frac DESC, row0 DESC, col0 DESC) = 1),
+two AS (SELECT * FROM b UNION ALL (SELECT sc.* FROM sc JOIN b USING (win) WHERE abs(sc.row0 - b.row0) >= {t} OR abs(sc.col0 - b.col0) >= {t} QUALIFY row_number() OVER (PARTITION BY win ORDER BY sc.finite_frac DESC, sc.row0 DESC, sc.col0 DESC) = 1))"""
 
 
-@query(f"""WITH {_HOLES}, {_CAND}, sc AS (SELECT row0, col0, sum(NOT list_bool_or([isnan(x) FOR x IN v]))::DOUBLE / 25 AS finite_frac FROM cand JOIN px ON row BETWEEN row0 AND row0 + 4 AND col BETWEEN col0 AND col0 + 4 GROUP BY 1, 2 HAVING finite_frac >= 0.9),
-b AS (SELECT * FROM sc ORDER BY finite_frac DESC, row0 DESC, col0 DESC LIMIT 1)
-SELECT * FROM b UNION ALL (SELECT sc.* FROM sc, b WHERE abs(sc.row0 - b.row0) >= 5 OR abs(sc.col0 - b.col0) >= 5 ORDER BY sc.finite_frac DESC, sc.row0 DESC, sc.col0 DESC LIMIT 1)""")
+@query(f"WITH {_HOLES}, {selected_sql(5, 0.9, 2)} SELECT row0, col0, finite_frac FROM two")
 def tile_select(spark, sf):
-    cand = spark.range(24).selectExpr("least(greatest((id * 7) % 23, 0L), 20L) AS row0", "least((id * 5) % 19, 15L) AS col0").distinct()
-    return G.tile_select(px(spark, sf, True), cand, 5, 0.9)
+    p = px(spark, sf, True)
+    return G.tile_select(p, G.candidate_origins(G.extents(p), 5), 5, 0.9).select("row0", "col0", "finite_frac")
+
+
+@query(f"WITH {_WIN_HOLES}, {selected_sql(4, 1.0, 2)} SELECT 'w' || lpad(win::VARCHAR, 6, '0') AS window_id, row0, col0, finite_frac FROM two")
+def window_tiles(spark, sf):
+    p = windows(spark, sf, True)
+    return G.tile_select(p, G.candidate_origins(G.extents(p), 4), 4)
 
 
 @query(f"WITH {_HOLES}, {tiles_sql(5)}, cells AS (SELECT tr, tc FROM (SELECT DISTINCT row // 5 AS tr, col // 5 AS tc FROM px) ORDER BY ((tr * 100 + tc) * 7919 + 42) % 104729, tr, tc LIMIT 8) SELECT DISTINCT tr AS tile_row, tc AS tile_col FROM tl JOIN cells USING (tr, tc)")
 def carve_subtiles(spark, sf):
-    p = px(spark, sf, True)
-    cells = G.tiled(p, 5).select(*G.TILE).distinct().withColumn("key", F.expr("tile_row * 100 + tile_col")).orderBy(G.seeded("key", 42), *G.TILE).limit(8).select(*G.TILE)
-    return G.full_tiles(p, 5).join(cells, list(G.TILE), "left_semi").select(*G.TILE).distinct()
+    return G.carve(px(spark, sf, True), 5, 8, 42).select(*G.TILE).distinct()
 
 
 @query("SELECT t, k1, k2 FROM (VALUES (32), (64), (128)) a(t), (VALUES (64), (128)) b(k1), (VALUES (100), (512), (1024)) c(k2) WHERE k1 < k2 AND k2 < t * t")
 def param_grid(spark, sf):
-    grid = spark.sql("SELECT t, k1, k2 FROM VALUES (32), (64), (128) a(t) CROSS JOIN VALUES (64), (128) b(k1) CROSS JOIN VALUES (100), (512), (1024) c(k2)")
-    return grid.where("k1 < k2 AND k2 < t * t")
+    return spark.createDataFrame(T.rvq_cells([32, 64, 128], [64, 128], [100, 512, 1024]), "t int, k1 int, k2 int")
 
 
 _BOX = "(VALUES ('a', 0.05, 51.25), ('b', -3.05, 10.15), ('c', 7.05, 89.95))"
@@ -142,17 +164,17 @@ _BOX = "(VALUES ('a', 0.05, 51.25), ('b', -3.05, 10.15), ('c', 7.05, 89.95))"
 
 @query(f"SELECT name, round(w_km, 6) AS w_km, round(h_km, 6) AS h_km, round(dlon, 9) AS dlon, round(dlat, 9) AS dlat, w_km > 10 OR h_km > 10 AS too_large FROM (SELECT name, 0.1 * 111.32 * cos(radians(lat)) AS w_km, (0.1 * 111.32)::DOUBLE AS h_km, 5000.0 / 111320.0 AS dlat, 5000.0 / 111320.0 / greatest(cos(radians(lat)), 0.000001) AS dlon FROM {_BOX} t(name, lon, lat))")
 def bbox_extent(spark, sf):
-    b = spark.createDataFrame([("a", 0.05, 51.25), ("b", -3.05, 10.15), ("c", 7.05, 89.95)], "name string, lon double, lat double")
-    c = F.cos(F.radians("lat"))
-    b = b.select("name", (0.1 * 111.32 * c).alias("w_km"), F.lit(0.1 * 111.32).alias("h_km"), F.lit(5000 / 111320).alias("dlat"), (5000 / 111320 / F.greatest(c, F.lit(1e-6))).alias("dlon"))
-    return b.select("name", r6("w_km"), r6("h_km"), F.round("dlon", 9).alias("dlon"), F.round("dlat", 9).alias("dlat"), ((F.col("w_km") > 10) | (F.col("h_km") > 10)).alias("too_large"))
+    boxes = [("a", 0.05, 51.25), ("b", -3.05, 10.15), ("c", 7.05, 89.95)]
+    sizes = [(name, lon, lat, *raster.bbox_size_km((lon - 0.05, lat - 0.05, lon + 0.05, lat + 0.05))) for name, lon, lat in boxes]
+    b = spark.createDataFrame(sizes, "name string, lon double, lat double, w_km double, h_km double").withColumn("b", raster.window_bounds(F.col("lon"), F.col("lat"), 1000))
+    half = lambda hi, lo: F.round((F.col(f"b.{hi}") - F.col(f"b.{lo}")) / 2, 9)
+    return b.select("name", r6("w_km"), r6("h_km"), half("east", "west").alias("dlon"), half("north", "south").alias("dlat"), ((F.col("w_km") > 10) | (F.col("h_km") > 10)).alias("too_large"))
 
 
 @query("SELECT name, (round(((lon % 0.1) + 0.1) % 0.1 * 1000) = 50 AND round(((lat % 0.1) + 0.1) % 0.1 * 1000) = 50) AS aligned FROM (VALUES ('a', 0.05::DOUBLE, 51.25::DOUBLE), ('b', -3.05, 10.15), ('c', 7.01, 9.95)) t(name, lon, lat)")
 def canonical_check(spark, sf):
     b = spark.createDataFrame([("a", 0.05, 51.25), ("b", -3.05, 10.15), ("c", 7.01, 9.95)], "name string, lon double, lat double")
-    on = lambda c: F.round(F.pmod(F.col(c), F.lit(0.1)) * 1000) == 50
-    return b.select("name", (on("lon") & on("lat")).alias("aligned"))
+    return b.select("name", S.on_grid().alias("aligned"))
 
 
 # Quantisation
@@ -255,12 +277,29 @@ def _sweep_sql() -> str:
 
 @query(_sweep_sql())
 def sweep_grid(spark, sf):
-    out = None
-    for t, k in ((5, 2), (5, 4), (10, 4)):
-        e = Q.errors(Q.vq(G.full_tiles(px(spark, sf), t), k))
-        part = e.groupBy(F.lit(t).cast("long").alias("t"), F.lit(k).cast("long").alias("k"), *G.TILE).agg(F.count("*").alias("n_pixels"), *Q.quantiles("cosine"), *Q.quantiles("l2"))
-        out = out.unionByName(part) if out else part
-    return out
+    """All tile sizes and codebook sizes from one scan; the SQL has three of the four cells."""
+    done = T.window_sweep(px(spark, sf), [5, 10], [2, 4], 2, None).where("t = 5 or k = 4")
+    return done.select("t", "k", *G.TILE, "n_pixels", *[c for c in done.columns if c[:4] in ("cos_", "l2_p")])
+
+
+@query(f"WITH p2 AS (SELECT vec_id // 20 AS row, vec_id % 20 AS col, [x::DOUBLE * (vec_id % 3 + 1) FOR x IN embedding] AS v0 FROM embeddings), px AS (SELECT row // 5 AS tr, col // 5 AS tc, row, col, [x / CASE WHEN {_DOT('v0', 'v0')} = 0 THEN 1 ELSE sqrt({_DOT('v0', 'v0')}) END FOR x IN v0] AS v FROM p2 WHERE (row // 5 + 1) * 5 <= (SELECT max(row) + 1 FROM p2)), {kmeans_sql('s', 'px', 4)} SELECT row, col, code FROM sa")
+def cosine_codes(spark, sf):
+    p = px(spark, sf).withColumn("vec", F.transform("vec", lambda x: x * (F.col("vec_id") % 3 + 1)))
+    return Q.cosine_vq(G.full_tiles(p, 5), 4, 2).select("row", "col", F.col("code1").alias("code"))
+
+
+@query(_RVQ + f", {_round8('s')}, {_round8('t')}, f8 AS (SELECT fin.tr, fin.tc, fin.v, {_ADD('sq.c', 'tq.c')} AS rec FROM fin JOIN sq ON (fin.tr, fin.tc, code1) = (sq.tr, sq.tc, sq.code) JOIN tq ON (fin.tr, fin.tc, code2) = (tq.tr, tq.tc, tq.code)) SELECT tr AS tile_row, tc AS tile_col, round(avg({_L2}), 4) AS mean_l2 FROM f8 GROUP BY ALL")
+def payload_roundtrip(spark, sf):
+    """Errors of what comes back from packed tiles."""
+    p = px(spark, sf)
+    back = P.unpack(P.pack(G.full_tiles(p, 5), 5, 3, 4, 2, None))
+    done = back.join(p.select("row", "col", "vec"), ["row", "col"])
+    return Q.errors(done).groupBy(*G.TILE).agg(F.round(F.avg("l2"), 4).alias("mean_l2"))
+
+
+@query(f"WITH {_PX}, {tiles_sql(5)} SELECT tr AS tile_row, tc AS tile_col, (3 * 64 + 4 * 64 + 4 * 64 * 4)::BIGINT AS codebook_bytes, 2 * count(*) AS index_bytes FROM tl GROUP BY ALL")
+def payload_sizes(spark, sf):
+    return P.sizes(P.pack(G.full_tiles(px(spark, sf), 5), 5, 3, 4, 2, None)).select(*G.TILE, "codebook_bytes", "index_bytes")
 
 
 _LINE = "li AS (SELECT l_suppkey AS tr, 0 AS tc, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate) - 1 AS row, 0 AS col, [l_quantity / 50, l_extendedprice / 100000, l_discount * 10, l_tax * 12.5]::DOUBLE[] AS v FROM lineitem)"
@@ -299,10 +338,19 @@ def _hilbert_sql(source: str, order: int) -> str:
     return sql
 
 
-@query(f"WITH {_PX} SELECT row, col, row_number() OVER (ORDER BY d) - 1 AS pos FROM ({_hilbert_sql('(SELECT row, col FROM px)', 7)})")
+def _hilbert_any_sql() -> str:
+    """d of every pixel along the curve of the smallest square that holds the raster, up to 16 levels."""
+    sql = "SELECT row, col, p, col AS x, row AS y, 0::BIGINT AS d FROM px, (SELECT length(bin(greatest(max(row), max(col)))) AS p FROM px)"
+    for k in range(15, -1, -1):
+        s = 1 << k
+        flip = "ry = 0 AND rx = 1"
+        sql = f"SELECT row, col, p, CASE WHEN {k} >= p THEN x WHEN ry = 0 THEN fy ELSE fx END AS x, CASE WHEN {k} >= p THEN y WHEN ry = 0 THEN fx ELSE fy END AS y, CASE WHEN {k} >= p THEN d ELSE d + {s * s} * xor(3 * rx, ry) END AS d FROM (SELECT *, CASE WHEN {flip} THEN (1 << p) - 1 - x ELSE x END AS fx, CASE WHEN {flip} THEN (1 << p) - 1 - y ELSE y END AS fy FROM (SELECT *, (x & {s} <> 0)::BIGINT AS rx, (y & {s} <> 0)::BIGINT AS ry FROM ({sql})))"
+    return sql
+
+
+@query(f"WITH {_PX} SELECT row, col, row_number() OVER (ORDER BY d) - 1 AS pos FROM ({_hilbert_any_sql()})")
 def hilbert_order(spark, sf):
-    p = px(spark, sf).select("row", "col", V.hilbert(F.col("row"), F.col("col"), 7).alias("d"))
-    return p.select("row", "col", (F.row_number().over(Window.orderBy("d")) - 1).cast("long").alias("pos"))
+    return C.scan_positions(px(spark, sf), "hilbert")
 
 
 _RUNS = "WITH s AS (SELECT event_id, event_type, user_id % 10 AS tile FROM events), m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY tile ORDER BY event_id)), i AS (SELECT *, sum(new) OVER (PARTITION BY tile ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id FROM m)"
@@ -332,17 +380,16 @@ def lineitem_rle(spark, sf):
     return out.select("tile", "n_px", "n_runs", F.round("runs_per_px", 6).alias("runs_per_px"), F.round("rle_bytes_per_px", 6).alias("rle_bytes_per_px"))
 
 
-def _orders_sql() -> str:
-    order = {"row": "row * 1000 + col", "morton": "(list_sum([(col >> i & 1) << (2 * i) FOR i IN range(8)]) + list_sum([(row >> i & 1) << (2 * i + 1) FOR i IN range(8)]))", "hilbert": "d"}
-    parts = []
-    for name, key in order.items():
-        parts.append(f"SELECT tr, tc, '{name}' AS ordering, code, {key} AS k FROM hil")
-    return f"hil AS ({_hilbert_sql('(SELECT tr, tc, row, col, code FROM sa)', 7)}), o AS ({' UNION ALL '.join(parts)}), m AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY tr, tc, ordering ORDER BY k) = code THEN 0 ELSE 1 END AS new FROM o), i AS (SELECT *, sum(new) OVER (PARTITION BY tr, tc, ordering ORDER BY k) AS run_id FROM m), r AS (SELECT tr, tc, ordering, run_id, count(*) AS length FROM i GROUP BY ALL), ib AS (SELECT tr, tc, ordering, sum(length)::BIGINT AS n_px, count(*) AS n_runs, (count(*) + sum(ceil(length(bin(length)) / 7.0))) / sum(length)::DOUBLE AS rle FROM r GROUP BY ALL)"
+def _orders_sql(source: str = "(SELECT tr, tc, row - tr * 5 AS row, col - tc * 5 AS col, code FROM sa)", t: int = 5, order: int = 3, p: str = "") -> str:
+    """{p}ib: n_px, n_runs and run-length bytes a pixel of each tile's map in each order; codes of one byte."""
+    key = {"row": f"row * {t} + col", "morton": "(list_sum([(col >> i & 1) << (2 * i) FOR i IN range(16)]) + list_sum([(row >> i & 1) << (2 * i + 1) FOR i IN range(16)]))", "hilbert": "d"}
+    parts = [f"SELECT tr, tc, '{name}' AS ordering, code, {k} AS k FROM {p}hil" for name, k in key.items()]
+    return f"{p}hil AS ({_hilbert_sql(source, order)}), {p}o AS ({' UNION ALL '.join(parts)}), {p}m AS (SELECT *, CASE WHEN lag(code) OVER (PARTITION BY tr, tc, ordering ORDER BY k) = code THEN 0 ELSE 1 END AS new FROM {p}o), {p}i AS (SELECT *, sum(new) OVER (PARTITION BY tr, tc, ordering ORDER BY k) AS run_id FROM {p}m), {p}r AS (SELECT tr, tc, ordering, run_id, count(*) AS length FROM {p}i GROUP BY ALL), {p}ib AS (SELECT tr, tc, ordering, sum(length)::BIGINT AS n_px, count(*) AS n_runs, (count(*) + sum(ceil(length(bin(length)) / 7.0))) / sum(length)::DOUBLE AS rle FROM {p}r GROUP BY ALL)"
 
 
 def _index_bytes(spark, sf):
-    done = vq4(spark, sf).select(*G.TILE, "row", "col", "code1")
-    keys = {"row": F.col("row") * 1000 + F.col("col"), "morton": V.morton(F.col("row"), F.col("col"), 8), "hilbert": V.hilbert(F.col("row"), F.col("col"), 7)}
+    done = vq4(spark, sf).select(*G.TILE, F.expr("row - tile_row * 5").alias("row"), F.expr("col - tile_col * 5").alias("col"), "code1")
+    keys = {n: C.order_key(n, F.col("row"), F.col("col"), 5) for n in C.ORDERINGS}
     each = done.select(*G.TILE, "code1", F.explode(F.array(*[F.struct(F.lit(n).alias("ordering"), k.alias("k")) for n, k in keys.items()])).alias("o")).select(*G.TILE, "code1", "o.*")
     return C.index_bytes(each, [*G.TILE, "ordering"], ["k"], "code1", 4)
 
@@ -374,42 +421,41 @@ def best_codec(spark, sf):
 
 @query(_VQ + f", e AS (SELECT {_L2} AS x FROM fin), s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM e) SELECT b AS bin_index, count(x) AS n FROM s CROSS JOIN range(10) g(b) LEFT JOIN e ON least(floor((x - lo) / (hi - lo) * 10), 9)::BIGINT = b GROUP BY b")
 def residual_hist(spark, sf):
-    e = Q.errors(vq4(spark, sf)).select(F.col("l2").alias("x"))
-    s = e.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    at = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10), F.lit(9))
-    counts = e.crossJoin(F.broadcast(s)).groupBy(at.cast("long").alias("bin_index")).agg(F.count("*").alias("n"))
-    return spark.range(10).select(F.col("id").alias("bin_index")).join(counts, "bin_index", "left").select("bin_index", F.coalesce("n", F.lit(0)).alias("n"))
+    return M.bounded_histogram(Q.errors(vq4(spark, sf)), "l2", 10).select("bin_index", "n")
 
 
-_HIST = "WITH s AS (SELECT quantile_cont(value, 0.99) AS hi FROM events WHERE value >= 0), b AS (SELECT b, b * hi / 20 AS lo, (b + 1) * hi / 20 AS up FROM s, range(20) g(b)), g AS (SELECT event_type, user_id % 5 AS box, value FROM events), t AS (SELECT event_type, box, count(*) AS n FROM g GROUP BY ALL), h AS (SELECT t.event_type, t.box, b.b AS bin_index, count(g.value) / any_value(t.n)::DOUBLE AS density FROM t CROSS JOIN b LEFT JOIN g ON g.event_type = t.event_type AND g.box = t.box AND g.value >= lo AND (g.value < up OR b.b = 19 AND g.value <= up) GROUP BY t.event_type, t.box, b.b)"
+_HIST = "WITH s AS (SELECT quantile_cont(value, 0.99) AS hi FROM events WHERE value >= 0), b AS (SELECT b, b * hi / 20 AS lo, (b + 1) * hi / 20 AS up FROM s, range(20) g(b)), g AS (SELECT event_type, user_id % 5 AS box, value FROM events), t AS (SELECT event_type, box, count(*) AS n FROM g GROUP BY ALL), h AS (SELECT t.event_type, t.box, b.b AS bin_index, count(g.value) / any_value(t.n)::DOUBLE AS density FROM t CROSS JOIN b LEFT JOIN g ON g.event_type = t.event_type AND g.box = t.box AND g.value >= lo AND (g.value < up OR b.b = 19 AND g.value <= up) GROUP BY t.event_type, t.box, b.b), f AS (SELECT event_type, box, avg((value < 0 OR value > hi)::INT) AS overflow FROM g, s GROUP BY ALL)"
 
 
 def _hist(spark, sf):
     e = load(spark, sf, "events").select("event_type", (F.col("user_id") % 5).alias("box"), F.col("value").cast("double").alias("value"))
-    edges = e.where("value >= 0").agg(F.percentile("value", F.lit(0.99)).alias("hi"))
-    return M.histogram(e, "value", ["event_type", "box"], edges, 20)
+    return M.histogram(e, "value", ["event_type", "box"], M.bin_edge(e.where("value >= 0"), "value"), 20)
 
 
-@query(_HIST + " SELECT event_type, box, bin_index, round(density, 6) AS density FROM h")
+@query(_HIST + " SELECT event_type, box, bin_index, round(density, 6) AS density, round(overflow, 6) AS overflow FROM h JOIN f USING (event_type, box)")
 def hist_density(spark, sf):
-    return _hist(spark, sf).withColumn("density", F.round("density", 6))
+    return _hist(spark, sf).select("event_type", "box", "bin_index", r6("density"), r6("overflow"))
 
 
-@query(_HIST + " SELECT event_type, bin_index, round(avg(density), 6) AS mean, round(coalesce(stddev_samp(density), 0), 6) AS sd, count(*) AS n_boxes FROM h GROUP BY ALL")
+_ACROSS = "avg(density) AS mean_density, coalesce(stddev_samp(density), 0) AS sd_density, avg(overflow) AS overflow_frac_mean, coalesce(stddev_samp(overflow), 0) AS overflow_frac_sd"
+
+
+@query(_HIST + f", l AS (SELECT event_type, bin_index, {_ACROSS}, count(*) AS n_bboxes FROM h JOIN f USING (event_type, box) GROUP BY ALL) SELECT event_type, bin_index, round(bin_index * hi / 20, 6) AS bin_low, round((bin_index + 1) * hi / 20, 6) AS bin_high, round(mean_density, 6) AS mean_density, round(sd_density, 6) AS sd_density, round(overflow_frac_mean, 6) AS overflow_frac_mean, round(overflow_frac_sd, 6) AS overflow_frac_sd, n_bboxes FROM l, s")
 def hist_agg_long(spark, sf):
-    return _hist(spark, sf).groupBy("event_type", "bin_index").agg(F.round(F.avg("density"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("density"), F.lit(0.0)), 6).alias("sd"), F.count("*").alias("n_boxes"))
+    long = M.across(_hist(spark, sf), ["event_type"])
+    return long.select("event_type", "bin_index", *[r6(c) for c in ("bin_low", "bin_high", "mean_density", "sd_density", "overflow_frac_mean", "overflow_frac_sd")], "n_bboxes")
 
 
-@query(_HIST + " SELECT event_type, " + ", ".join(f"round(avg(density) FILTER (bin_index = {i}), 6) AS bin_{i:02d}_mean" for i in range(20)) + " FROM h GROUP BY event_type")
+@query(_HIST + f", l AS (SELECT event_type, bin_index, {_ACROSS} FROM h JOIN f USING (event_type, box) GROUP BY ALL) SELECT event_type, " + ", ".join(f"round(any_value(mean_density) FILTER (bin_index = {i}), 6) AS bin_{i:02d}_mean, round(any_value(sd_density) FILTER (bin_index = {i}), 6) AS bin_{i:02d}_sd" for i in range(20)) + ", round(any_value(overflow_frac_mean), 6) AS overflow_frac_mean, round(any_value(overflow_frac_sd), 6) AS overflow_frac_sd FROM l GROUP BY event_type")
 def hist_wide(spark, sf):
-    wide = _hist(spark, sf).groupBy("event_type").pivot("bin_index", list(range(20))).agg(F.round(F.avg("density"), 6))
-    return wide.select("event_type", *[F.col(str(i)).alias(f"bin_{i:02d}_mean") for i in range(20)])
+    wide = M.wide(M.across(_hist(spark, sf), ["event_type"]), ["event_type"], 20)
+    return wide.select("event_type", *[r6(c) for c in wide.columns if c != "event_type"])
 
 
 @query("WITH s AS (SELECT avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.999) AS p99_9, max(value) AS mx FROM events), o AS (SELECT avg((p50 > 0 AND value > 2 * p50)::INT) AS a, avg((p50 > 0 AND value > 5 * p50)::INT) AS b FROM events, s) SELECT round(mean, 6) AS mean, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p95, 6) AS p95, round(p99, 6) AS p99, round(p99_9, 6) AS p99_9, round(mx, 6) AS max, round(a, 6) AS over_2x, round(b, 6) AS over_5x FROM s, o")
 def tail_summary(spark, sf):
     out = M.tail_summary(load(spark, sf, "events").select(F.col("value").cast("double").alias("value")), "value")
-    return out.select(*[r6(c) for c in out.columns])
+    return out.select(*[r6(c) for c in out.columns if c != "n"])
 
 
 @query(f"WITH {_PX}, d AS (SELECT d - 1 AS dim, avg(v[d]) AS mean, var_pop(v[d]) AS variance FROM px, range(1, 65) g(d) GROUP BY d) SELECT dim, round(mean, 6) AS mean, round(variance, 6) AS variance, variance < 0.01 * (SELECT median(variance) FROM d) AS collapsed FROM d")
@@ -428,10 +474,41 @@ def epps_pulley(spark, sf):
     return M.epps_pulley(e, "x", ["label"]).withColumn("statistic", F.round("statistic", 6))
 
 
-@query(f"WITH {_PX}, c AS (SELECT d, v[d] AS x, vec_id % 2 AS side, row_number() OVER (PARTITION BY d, vec_id % 2 ORDER BY v[d]) AS no FROM px, range(1, 9) g(d)) SELECT a.d - 1 AS direction, round(avg(abs(a.x - b.x)), 6) AS w1 FROM c a JOIN c b ON a.d = b.d AND a.no = b.no AND a.side = 0 AND b.side = 1 GROUP BY a.d")
+#: Random unit directions over all components, as a table in both engines.
+_DIRECTIONS = M.unit_directions(6, 64, 43)
+_DIR = "dir AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, [{', '.join(map(repr, d.tolist()))}]::DOUBLE[])" for i, d in enumerate(_DIRECTIONS)) + ") t(direction, u)), pr AS (SELECT vec_id, direction, list_dot_product(v, u) AS x FROM px, dir)"
+_CDF = "c AS (SELECT direction, x, sum((vec_id % 3 = 0)::INT) AS a, sum((vec_id % 3 <> 0)::INT) AS b FROM pr GROUP BY ALL), f AS (SELECT direction, lead(x) OVER w - x AS gap, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY direction) - sum(b) OVER w / sum(b) OVER (PARTITION BY direction)) AS d FROM c WINDOW w AS (PARTITION BY direction ORDER BY x)), w1 AS (SELECT direction, sum(coalesce(gap, 0) * d) AS w1 FROM f GROUP BY ALL)"
+
+
+@query(f"WITH {_PX}, {_DIR}, {_CDF} SELECT direction, round(w1, 6) AS w1 FROM w1")
 def wasserstein1(spark, sf):
-    c = px(spark, sf).select("vec_id", F.posexplode(F.slice("vec", 1, 8)).alias("direction", "x")).withColumn("direction", F.col("direction").cast("long"))
-    return M.wasserstein1(c.where("vec_id % 2 = 0"), c.where("vec_id % 2 = 1"), "x", ["direction"]).withColumn("w1", F.round("w1", 6))
+    """Distances of two samples of unequal sizes on each random direction."""
+    a, b = (M.project(px(spark, sf).where(c), _DIRECTIONS) for c in ("vec_id % 3 = 0", "vec_id % 3 <> 0"))
+    return M.wasserstein1(a, b, "x", ["direction"]).withColumn("w1", F.round("w1", 6))
+
+
+@query(f"WITH {_PX}, {_DIR}, {_CDF} SELECT round(avg(w1), 6) AS w1 FROM w1")
+def wasserstein1_mean(spark, sf):
+    a, b = (px(spark, sf).where(c) for c in ("vec_id % 3 = 0", "vec_id % 3 <> 0"))
+    return M.wasserstein1_projected(a, b, _DIRECTIONS).withColumn("w1", F.round("w1", 6))
+
+
+#: A bounded sample of standardised vectors, on each direction.
+_Z = f"sm AS (SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919 + 42) % 104729, vec_id LIMIT 400), st AS (SELECT list(m ORDER BY d) AS m, list(CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY d) AS s FROM (SELECT d, avg(v[d]) AS m, stddev_pop(v[d]) AS s FROM px, range(1, 65) g(d) GROUP BY d)), z AS (SELECT vec_id, [(v[i] - st.m[i]) / st.s[i] FOR i IN range(1, 65)] AS v FROM px JOIN sm USING (vec_id), st), {_DIR.replace('FROM px, dir', 'FROM z, dir')}"
+_EP = "e AS (SELECT direction, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM pr GROUP BY 1), y AS (SELECT direction, n, (x - m) / s AS y FROM pr JOIN e USING (direction)), p AS (SELECT a.direction, sum(exp(-((a.y - b.y) * (a.y - b.y)) / 2)) AS p FROM y a JOIN y b USING (direction) GROUP BY 1), q AS (SELECT direction, sum(exp(-(y * y) / 4)) AS q, any_value(n) AS n FROM y GROUP BY direction)"
+
+
+@query(f"WITH {_PX}, {_Z}, {_EP} SELECT direction, round(p / n - sqrt(2) * q + n / sqrt(3), 6) AS ep_stat, p / n - sqrt(2) * q + n / sqrt(3) > 0.5 AS ep_reject FROM p JOIN q USING (direction)")
+def direction_normality(spark, sf):
+    sample = M.standardise(px(spark, sf)).orderBy(G.seeded("vec_id", 42), "vec_id").limit(400)
+    return M.direction_normality(sample, _DIRECTIONS, 0.5, 0.01, "z").select("direction", r6("ep_stat"), "ep_reject")
+
+
+@query()
+def isotropy(spark, sf):
+    """The isotropy study's normality rows: 24 directions over a sample of 2,000, the threshold from 50 normal samples of its size."""
+    p = px(spark, sf).select("vec_id", "vec")
+    return T.isotropy_study(p, M.unit_directions(24, 64, 43), "vec_id", 2000, reps=50)["directions"]
 
 
 @query(f"WITH {_PX} SELECT i - 1 AS i, j - 1 AS j, round(sum(v[i] * v[j]), 6) AS sum_xy FROM px, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
@@ -462,27 +539,108 @@ def shapiro(spark, sf):
 
 @query()
 def plane_codecs(spark, sf):
-    """Bytes per pixel of each tile's index plane under zlib and zstandard."""
-    import pandas as pd
+    """Bytes a pixel of selected tiles under byte compressors and run lengths, by cell, with the best one."""
+    return T.codec_sweep(windows(spark, sf), [(5, 3, 4), (5, 4, 6)], 64, 3, 2)
+
+
+@query()
+def ep_threshold(spark, sf):
+    """The 99 % quantile of the statistic over 200 normal samples of the size that is tested."""
+    n = min(500, px(spark, sf).count())
+    return spark.createDataFrame([(M.ep_null_threshold(spark, n, 0.01, 200, 43),)], "threshold double")
+
+
+# Studies: one scan for all cells
+
+
+_STUDY = [(5, 2, 3), (5, 3, 4)]
+
+
+def _study_sql(source: str, cells: list, base: str) -> str:
+    """en: t, k1, k2, tr, tc, row, col, v, code1, code2, rec of all cells; kn: their codebooks."""
+    parts, errs, books = [], [], []
+    for n, (t, k1, k2) in enumerate(cells):
+        a, b = f"y{n}", f"z{n}"
+        parts += [kmeans_sql(a, source, k1), f"{a}res AS (SELECT tr, tc, row, col, {_SUB('v', 'c')} AS v FROM {a}a)", kmeans_sql(b, f"{a}res", k2)]
+        errs.append(f"SELECT {t}::BIGINT AS t, {k1}::BIGINT AS k1, {k2}::BIGINT AS k2, {a}a.tr, {a}a.tc, {a}a.row, {a}a.col, {a}a.v, {a}a.code AS code1, {b}a.code AS code2, {_ADD(f'{a}a.c', f'{b}a.c')} AS rec FROM {a}a JOIN {b}a USING (tr, tc, row, col)")
+        for stage, x in (("c1", a), ("c2", b)):
+            books.append(f"SELECT {t}::BIGINT AS t, {k1}::BIGINT AS k1, {k2}::BIGINT AS k2, '{stage}' AS stage, tr, tc, code, c FROM {x}c")
+    return f"WITH {base}, {', '.join(parts)}, en AS ({' UNION ALL '.join(errs)}), kn AS ({' UNION ALL '.join(books)})"
+
+
+_SWEEP = _study_sql("tl", _STUDY, f"{_WIN_HOLES}, {tiles_sql(5)}")
+_SWEEP_HIST = f""", ex AS (SELECT t, k1, k2, row // 1000 AS win, {_L2} AS l2 FROM en), s AS (SELECT quantile_cont(l2, 0.99) AS hi FROM ex WHERE (t, k1, k2) = (5, 2, 3) AND win = (SELECT min(row // 1000) FROM px)),
+every AS (SELECT * FROM (SELECT DISTINCT row // 1000 AS win FROM px), (SELECT DISTINCT t, k1, k2 FROM ex), range(8) g(b), s),
+tt AS (SELECT t, k1, k2, win, count(*) AS n, avg((l2 > hi)::INT) AS overflow FROM ex, s GROUP BY ALL),
+hh AS (SELECT e.t, e.k1, e.k2, e.win, e.b, hi, coalesce(count(x.l2) / any_value(tt.n)::DOUBLE, 0) AS density, coalesce(any_value(tt.overflow), 0) AS overflow FROM every e LEFT JOIN tt USING (t, k1, k2, win) LEFT JOIN ex x ON (x.t, x.k1, x.k2, x.win) = (e.t, e.k1, e.k2, e.win) AND l2 >= b * hi / 8 AND (l2 < (b + 1) * hi / 8 OR b = 7 AND l2 <= hi) GROUP BY ALL)"""
+
+
+@query(_SWEEP + _SWEEP_HIST + " SELECT t, k1, k2, b AS bin_index, round(b * hi / 8, 6) AS bin_low, round((b + 1) * hi / 8, 6) AS bin_high, round(avg(density), 6) AS mean_density, round(coalesce(stddev_samp(density), 0), 6) AS sd_density, round(avg(overflow), 6) AS overflow_frac_mean, round(coalesce(stddev_samp(overflow), 0), 6) AS overflow_frac_sd, count(*) AS n_bboxes FROM hh GROUP BY t, k1, k2, b, hi")
+def study_histogram(spark, sf):
+    long = T.histogram_sweep(windows(spark, sf, True), _STUDY, 8, 2, None)
+    return long.select("t", "k1", "k2", "bin_index", *[r6(c) for c in ("bin_low", "bin_high", "mean_density", "sd_density", "overflow_frac_mean", "overflow_frac_sd")], "n_bboxes")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
 
-        import zstandard
+_LARGE = [(4, 2, 3), (4, 3, 4)]
+_PICK = f"{_WIN_HOLES}, {selected_sql(4, 1.0, 2)}, tl AS (SELECT win * 1000000 + row0 * 1000 + col0 AS tr, 0 AS tc, row % 1000 - row0 AS row, col - col0 AS col, v FROM two JOIN px ON row // 1000 = win AND row % 1000 BETWEEN row0 AND row0 + 3 AND col BETWEEN col0 AND col0 + 3)"
+_SELECTED = _study_sql("tl", _LARGE, _PICK)
+_STAT = ["rel_mean", "rel_p50", "rel_p90", "rel_p99", "r2"]
 
-        plane = pdf.sort_values(["row", "col"])["code1"].to_numpy("uint8").tobytes()
-        return pd.DataFrame({"tile_row": pdf["tile_row"].iloc[:1], "tile_col": pdf["tile_col"].iloc[:1], "zlib_b": [len(zlib.compress(plane, 9)) / len(plane)], "zstd_b": [len(zstandard.ZstdCompressor(level=19).compress(plane)) / len(plane)]})
 
-    return vq4(spark, sf).select(*G.TILE, "row", "col", "code1").groupBy(*G.TILE).applyInPandas(run, "tile_row long, tile_col long, zlib_b double, zstd_b double")
+@query(_SELECTED + f""", ex AS (SELECT t, k1, k2, tr, {_L2} / CASE WHEN {_DOT("v", "v")} = 0 THEN 1 ELSE sqrt({_DOT("v", "v")}) END AS rel, {_L2} * {_L2} AS ss FROM en),
+tot AS (SELECT t, k1, k2, tr, sum(s) AS tot FROM (SELECT t, k1, k2, tr, d, var_pop(v[d]) * count(*) AS s FROM en, range(1, 65) g(d) GROUP BY ALL) GROUP BY ALL),
+me AS (SELECT t, k1, k2, tr, avg(rel) AS rel_mean, quantile_cont(rel, 0.5) AS rel_p50, quantile_cont(rel, 0.9) AS rel_p90, quantile_cont(rel, 0.99) AS rel_p99, CASE WHEN any_value(tot) > 0 THEN 1 - sum(ss) / any_value(tot) ELSE 0 END AS r2, count(*) AS n_px FROM ex JOIN tot USING (t, k1, k2, tr) GROUP BY t, k1, k2, tr)
+SELECT t, k1, k2, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_sd' for c in _STAT)}, count(*) AS n_tiles, sum(n_px)::BIGINT AS n_px FROM me GROUP BY ALL""")
+def study_reconstruction(spark, sf):
+    done = T.recon_sweep(windows(spark, sf, True), _LARGE, 2)
+    return done.select(*T.CELL, *[r6(f"{c}_{x}") for c in _STAT for x in ("mean", "sd")], "n_tiles", "n_px")
+
+
+_TOTALS = [f"{n}_bytes" for n in ("idx1_row", "idx1_morton", "idx1_hilbert", "idx1_raw", "idx2_raw", "idx2_hilbert")] + ["codebook_Bpx", "idx1_best_bytes", "total_packed_Bpx", "total_compressed_Bpx", "x_fp32_compressed", "x_int8_compressed"]
+
+
+def _totals_sql() -> str:
+    parts, cells = [], []
+    for n, (t, k1, k2) in enumerate(_LARGE):
+        for plane, code in (("f", "code1"), ("g", "code2")):
+            parts.append(_orders_sql(f"(SELECT tr, tc, row, col, {code} AS code FROM en WHERE (k1, k2) = ({k1}, {k2}))", 4, 2, f"{plane}{n}"))
+        mean = lambda plane, o: f"(SELECT avg(rle) FROM {plane}{n}ib WHERE ordering = '{o}')"  # noqa: B023, E731
+        cells.append(f"SELECT {t}::BIGINT AS t, {k1}::BIGINT AS k1, {k2}::BIGINT AS k2, (SELECT count(*) FROM f{n}ib WHERE ordering = 'row') AS n_tiles, {mean('f', 'row')} AS idx1_row_bytes, {mean('f', 'morton')} AS idx1_morton_bytes, {mean('f', 'hilbert')} AS idx1_hilbert_bytes, 1.0::DOUBLE AS idx1_raw_bytes, 1.0::DOUBLE AS idx2_raw_bytes, {mean('g', 'hilbert')} AS idx2_hilbert_bytes")
+    head = _SELECTED + ", " + ", ".join(parts) + f", ce AS ({' UNION ALL '.join(cells)}), c2 AS (SELECT *, (k1 + k2) * 64 / (t * t)::DOUBLE AS codebook_Bpx, least(idx1_row_bytes, idx1_morton_bytes, idx1_hilbert_bytes) AS idx1_best_bytes FROM ce), c3 AS (SELECT *, codebook_Bpx + idx1_raw_bytes + idx2_raw_bytes AS total_packed_Bpx, codebook_Bpx + idx1_best_bytes + idx2_raw_bytes AS total_compressed_Bpx FROM c2), c4 AS (SELECT *, 256 / total_compressed_Bpx AS x_fp32_compressed, 64 / total_compressed_Bpx AS x_int8_compressed FROM c3)"
+    return head + f" SELECT t, k1, k2, n_tiles, {', '.join(f'round({c}, 6) AS {c}' for c in _TOTALS)} FROM c4 WHERE n_tiles > 0"
+
+
+@query(_totals_sql())
+def study_index(spark, sf):
+    done = T.index_sweep(windows(spark, sf, True), _LARGE, 64, 2)
+    return done.select(*T.CELL, "n_tiles", *[r6(c) for c in _TOTALS])
+
+
+def _rank(spark, sf):
+    return T.rank_study(windows(spark, sf, True), _STUDY, 2, None)
+
+
+@query(_SWEEP + """, g AS (SELECT t, k1, k2, stage, i, j, sum(c[i] * c[j]) AS raw, sum(c[i] * c[j]) - sum(c[i]) * sum(c[j]) / count(*) AS centered, count(*) AS n FROM kn, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL),
+f AS (SELECT t, k1, k2, stage, 'raw' AS mode, i, j, raw AS x, n FROM g UNION ALL SELECT t, k1, k2, stage, 'centered', i, j, centered, n FROM g)
+SELECT t, k1, k2, stage, mode, any_value(n) AS n_vectors, 64::BIGINT AS ambient_dim, round(sum(x) FILTER (i = j) * sum(x) FILTER (i = j) / sum(x * x), 5) AS participation_ratio FROM f GROUP BY t, k1, k2, stage, mode""")
+def study_rank(spark, sf):
+    return _rank(spark, sf)["rank"].select(*T.CELL, "stage", "mode", "n_vectors", "ambient_dim", F.round("participation_ratio", 5).alias("participation_ratio"))
+
+
+_TAILS = ["mean", "p50", "p90", "p95", "p99", "p999", "max", "frac_gt_2x_median", "frac_gt_5x_median"]
+
+
+@query(_SWEEP + f""", ex AS (SELECT t, k1, k2, tr, tc, avg({_L2}) AS l2, avg(greatest({_COS}, 0)) AS cos FROM en GROUP BY ALL), e AS (SELECT t, k1, k2, 'l2' AS metric, l2 AS x FROM ex UNION ALL SELECT t, k1, k2, 'cos', cos FROM ex),
+s AS (SELECT t, k1, k2, metric, count(*) AS n_tiles, avg(x) AS mean, {', '.join(f'quantile_cont(x, {p}) AS {n}' for n, p in (('p50', .5), ('p90', .9), ('p95', .95), ('p99', .99), ('p999', .999)))}, max(x) AS max FROM e GROUP BY ALL),
+o AS (SELECT t, k1, k2, metric, avg((p50 > 0 AND x > 2 * p50)::INT) AS frac_gt_2x_median, avg((p50 > 0 AND x > 5 * p50)::INT) AS frac_gt_5x_median FROM e JOIN s USING (t, k1, k2, metric) GROUP BY ALL)
+SELECT t, k1, k2, metric, n_tiles, {', '.join(f'round({c}, 6) AS {c}' for c in _TAILS)} FROM s JOIN o USING (t, k1, k2, metric)""")
+def study_tails(spark, sf):
+    return _rank(spark, sf)["tails"].select(*T.CELL, "metric", "n_tiles", *[r6(c) for c in _TAILS])
 
 
 @query()
-def ep_threshold(spark, sf):
-    """The 99 % quantile of the statistic under a normal sample, by 100 seeded draws of 100 values."""
-    draws = spark.range(100).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"))
-    u = lambda k: (F.pmod(F.xxhash64("rep", "i", F.lit(k)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    x = draws.select("rep", (F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))).alias("x"))
-    return M.epps_pulley(x, "x", ["rep"]).agg(F.percentile("statistic", F.lit(0.99)).alias("threshold"))
+def study_tile_rank(spark, sf):
+    return _rank(spark, sf)["tile_rank"]
 
 
 # Splits, scores and fronts
@@ -584,7 +742,7 @@ def cache_evict_plan(spark, sf):
     return sinks.evict_plan(e, "bytes", ["ts", "event_id"], 20000).select("event_id", "bytes")
 
 
-@query("SELECT event_id, concat_ws('|', 'rvq-int8-gz-1', printf('%.6f', event_id / 7.0::DOUBLE), '512', '20', '256', '42') AS key, sha256(concat_ws('|', 'rvq-int8-gz-1', printf('%.6f', event_id / 7.0::DOUBLE), '512', '20', '256', '42')) AS digest FROM events")
+@query("SELECT event_id, concat_ws('|', 'vqloom-tiles-2', printf('%.6f', event_id / 7.0::DOUBLE), '512', '20', '256', '42') AS key, sha256(concat_ws('|', 'vqloom-tiles-2', printf('%.6f', event_id / 7.0::DOUBLE), '512', '20', '256', '42')) AS digest FROM events")
 def cache_key(spark, sf):
     e = load(spark, sf, "events").select("event_id", (F.col("event_id") / 7.0).alias("x"))
     key = sinks.cache_key(["x"], [512, 20, 256, 42])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.metrics import moments
+
 
 def stream_histogram(stream: DataFrame, value: str, by: list[str], hi: float, n_bins: int, out: str) -> None:
     """Counts per bin of [0, hi] (bin n_bins: outside) of every batch under `out`; edges are frozen beforehand."""
@@ -25,8 +27,7 @@ def stream_gram(stream: DataFrame, vec: str, out: str) -> None:
     """Sums of products (i <= j) of every batch; adding them up gives the Gram matrix of all windows seen."""
 
     def batch(df: DataFrame, no: int) -> None:
-        cells = df.select(F.posexplode(vec).alias("i", "x"), vec).select("i", "x", F.posexplode(vec).alias("j", "y")).where("i <= j")
-        cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sum_xy")).write.mode("overwrite").parquet(f"{out}/parts/batch_no={no}")
+        moments(df, vec=vec).where("i >= 0").withColumnRenamed("s", "sum_xy").write.mode("overwrite").parquet(f"{out}/parts/batch_no={no}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
