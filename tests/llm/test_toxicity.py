@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -77,3 +79,33 @@ def test_odd_rows(spark):
     assert toxicity.op2_toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.op2_toxicity(empty(spark), labels).count() == 0
     assert toxicity.reject_toxic(docs, labels).columns == docs.columns
+
+
+def slow_score(text, model):
+    """Noisy-or over sentences from the model's numbers: 1 - prod (1 + e^b) / (1 + e^z), over sentences with a learned feature."""
+    keep = 1.0
+    for sentence in re.split(r"[.!?\n]+", text.lower()):
+        found = {f for w in re.findall(r"[^\W\d_]+", sentence) for f in toxicity.features(w)} & model.weights.keys()
+        if found:
+            z = model.bias + sum(model.weights[f] for f in found)
+            keep *= (1 + math.exp(model.bias)) / (1 + math.exp(z))
+    return 1 - keep
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels, _ = corpus(spark)
+    model = toxicity.train(docs, labels)
+    assert model.weights
+    both = docs.unionByName(documents(spark).where("text is null or length(text) < 1000").select("doc_id", "text"))
+    for r in toxicity.with_toxicity(both, model).collect():
+        assert math.isclose(r["toxicity"]["score"], slow_score(r["text"] or "", model), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels, _ = corpus(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags: seen.append(bags))
+    for most in (1 << 30, 20_000, 0):
+        toxicity.train(docs, labels, most=most)
+    sizes = [sum(4 * (len(s) + 1) for bag, _ in bags for s in bag) for bags in seen]
+    assert len(seen[0]) > 400 and 0 < len(seen[1]) < len(seen[0]) and sizes[1] <= 20_000 and not seen[2]

@@ -196,13 +196,13 @@ def documents_as_media(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("media", run(whole_text(text).cast("binary")))
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy string"
 
 
 def op1_media(docs: DataFrame) -> DataFrame:
-    """Digests of every document's stored image, of the payload read back from it, and of its features.
+    """Digests of every document's stored image and of the payload read back from it, its difference hash, and its NPY tile (hex; 200 bytes).
 
-    The image itself stays inside the Python worker, so only digests travel back to the JVM.
+    The image itself stays inside the Python worker, so only digests and the tile travel back to the JVM.
     """
 
     @F.pandas_udf(DIGEST)
@@ -214,7 +214,7 @@ def op1_media(docs: DataFrame) -> DataFrame:
             image = decode(media)
             payload = image.tobytes()
             tile, dhash = features(image)
-            out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), dhash, hashlib.sha256(tile).hexdigest()))
+            out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), dhash, tile.hex()))
         return pd.DataFrame(out, columns=[f.split()[0] for f in DIGEST.split(", ")])
 
     return docs.select("doc_id", run(whole_text().cast("binary")).alias("m")).select("doc_id", "m.*")

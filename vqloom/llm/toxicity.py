@@ -19,17 +19,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, whole_text
+from .common import fold_bucket, stored, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 18
 BEGINNINGS = (3, 5, 7)
-#: A label sample of this many documents at most fits the weights; everything is scored.
+#: A label sample of this many documents, and bytes of packed features, at most fits the weights; everything is scored.
 TRAIN_CAP = 8000
+TRAIN_BYTES = 256 << 20
 CACHE = 150_000
 #: The bias stays above this; features with log odds over SURE of being in toxic documents only are drawn to a weight that outweighs it.
 LOWEST, SURE = -9.0, 3.0
@@ -98,8 +99,8 @@ def fit(bags: list[tuple[list, int]], steps: int = 300, rate: float = 0.1, l2: f
     return Model(float(x[-1]), {int(kept[i]): float(x[i]) for i in np.flatnonzero(x[:-1])})
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP) -> Model:
-    """Fits on at most `cap` labelled documents outside the held-out fold, the first by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, most: int = TRAIN_BYTES) -> Model:
+    """Fits on at most `cap` labelled documents outside the held-out fold, the first by a hash of their id, as far as their features fit `most` bytes."""
     own = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("_toxic").isNotNull() & (fold_bucket(F.col("doc_id"), 5) != 0))
     own = own.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(cap)
 
@@ -112,7 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP) -> Model:
         return pd.DataFrame(out, columns=["lengths", "ids"])
 
     # Bags travel and stay as packed 32-bit numbers: four bytes for each feature of the sample, on the driver too.
-    rows = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")).join(F.broadcast(own), "_id").select("_id", bag("_text").alias("bag"), "_toxic").toLocalIterator()
+    bags = docs.select(F.col("doc_id").alias("_id"), whole_text().alias("_text")).join(F.broadcast(own), "_id").select("_id", bag("_text").alias("bag"), "_toxic")
+    bags = stored(bags, "bags").withColumn("_size", F.octet_length("bag.ids") + F.octet_length("bag.lengths"))
+    # The sample's rows only, so one task may order them.
+    run = F.sum("_size").over(Window.orderBy(F.xxhash64("_id"), "_id", "_toxic", F.xxhash64("bag.ids")))
+    sizes = bags.select("_id", "_toxic", run.alias("_run")).groupBy("_id", "_toxic").agg(F.max("_run").alias("_run")).where(F.col("_run") <= most)
+    rows = bags.join(F.broadcast(sizes.select("_id", "_toxic")), ["_id", "_toxic"]).toLocalIterator()
     packed = sorted(((r["_id"], r["_toxic"], bytes(r["bag"]["lengths"]), bytes(r["bag"]["ids"])) for r in rows), key=lambda r: (r[0], r[1], zlib.crc32(r[3])))
     bags = []
     for _, label, lengths, ids in packed:
