@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -87,3 +88,14 @@ def test_query_and_stage_carry_source_spans(spark):
     assert sorted(stage, key=str) == sorted((w[:4] for w in want), key=str)
     rows = S.op5_sentencepiece(docs, piece_model(), spans=True).collect()
     assert sorted(((r["doc_id"], r["spans_sha256"]) for r in rows), key=str) == sorted(((w[0], w[4]) for w in want), key=str)
+
+
+@pytest.mark.parametrize("kind", [4, 5])
+def test_models_that_need_more_are_refused(tmp_path, kind):
+    model = proto.ModelProto()
+    with open(piece_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces[500].type = kind
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        S.Codec(str(tmp_path / "m.model"))

@@ -78,13 +78,15 @@ class Codec:
             raise ValueError("only BPE models with white space as a prefix are supported")
         if any(p.type == 4 for p in model.pieces):
             raise ValueError("user-defined pieces are not supported")
+        if any(p.type == 5 for p in model.pieces):
+            raise ValueError("unused pieces, which would have to be split again, are not supported")
         spec = model.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.prefix, self.trim, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.pieces = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
         self.unknown = self.kinds.index(2)
-        self.score = {p.piece: p.score for p in model.pieces if p.type in (1, 5)}
+        self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         self.id = {p: i for i, p in enumerate(self.pieces)}
         self.bytes = [self.id.get(f"<0x{b:02X}>") for b in range(256)] if model.trainer_spec.byte_fallback else None
         #: Characters inside longer pieces; any other one is a piece for itself.
