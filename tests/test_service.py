@@ -185,3 +185,22 @@ def test_sweep_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(a).count() == 2
     wide = spark.read.option("header", True).csv(b)
     assert wide.columns[:9] == ["t", "k1", "k2", "bin_00_mean", "bin_00_sd", "bin_01_mean", "bin_01_sd", "overflow_frac_mean", "overflow_frac_sd"] and wide.first()["git_sha"] == "r"
+
+
+def test_centres_of_a_year(spark):
+    tiles = spark.createDataFrame([(0.05, 50.05, 2024), (0.15, 50.05, 2024), (0.05, 50.05, 2023)], "lon double, lat double, year int")
+    assert raster.centres(tiles, 2024).count() == 2 and raster.centres(tiles, 2024, (0.05, 50.05, 0.1, 51)).count() == 1
+    with pytest.raises(ValueError):
+        raster.centres(tiles, 2020)
+    with pytest.raises(ValueError):
+        raster.centres(tiles, 2024, (1, 1, 2, 2))
+
+
+def test_files_of_any_content_end_nothing(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.ones(3))
+    (tmp_path / "a.npz").rename(tmp_path / "a.npy")
+    np.save(tmp_path / "b.npy", np.ones((2, 2)))
+    np.save(tmp_path / "c.npy", np.array([["x"]], dtype=object), allow_pickle=True)
+    np.save(tmp_path / "d.npy", np.ones((1, 2, 2)))
+    px = raster.read_windows(spark, str(tmp_path))
+    assert sorted((r["window_id"], r["vec"] is None) for r in px.collect()) == [("a", True), ("b", True), ("c", True), ("d", False), ("d", False)]

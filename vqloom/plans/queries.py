@@ -667,11 +667,12 @@ def extract_labelled(spark, sf):
 _F1 = """f AS (SELECT label, (2.0 * sum((label = guess)::INT)) / (count(*) + any_value(p.n)) AS x FROM pred LEFT JOIN (SELECT guess AS g, count(*) AS n FROM pred GROUP BY 1) p ON p.g = label GROUP BY label)"""
 
 
-def _macro_f1(pred: DataFrame) -> DataFrame:
-    """label, guess -> per-class F1 of every class that occurs."""
-    hit = pred.groupBy("label").agg(F.count("*").alias("t"), F.sum((F.col("label") == F.col("guess")).cast("int")).alias("hit"))
-    said = pred.groupBy(F.col("guess").alias("label")).agg(F.count("*").alias("s"))
-    return hit.join(said, "label", "left").select("label", (2.0 * F.col("hit") / (F.col("t") + F.coalesce("s", F.lit(0)))).alias("f1"))
+def _macro_f1(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, label, guess -> per-class F1 of every class that occurs."""
+    by = by or []
+    hit = pred.groupBy(*by, "label").agg(F.count("*").alias("t"), F.sum((F.col("label") == F.col("guess")).cast("int")).alias("hit"))
+    said = pred.groupBy(*by, F.col("guess").alias("label")).agg(F.count("*").alias("s"))
+    return hit.join(said, [*by, "label"], "left").select(*by, "label", (2.0 * F.col("hit") / (F.col("t") + F.coalesce("s", F.lit(0)))).alias("f1"))
 
 
 def _nearest_mean(p: DataFrame) -> DataFrame:
@@ -707,8 +708,34 @@ _FOLD = "(VALUES (1, 0, 0.50, 0.48), (1, 1, 0.55, 0.56), (1, 2, 0.51, 0.50), (2,
 @query(f"SELECT cell, round(avg(raw), 6)::DOUBLE AS raw_mean, round(avg(recon), 6)::DOUBLE AS recon_mean, round(avg(raw - recon), 6)::DOUBLE AS delta_mean, round(coalesce(stddev_samp((raw - recon)::DOUBLE), 0), 6) AS delta_sd FROM {_FOLD} GROUP BY cell")
 def fold_delta(spark, sf):
     f = spark.createDataFrame([(1, 0, 0.50, 0.48), (1, 1, 0.55, 0.56), (1, 2, 0.51, 0.50), (2, 0, 0.50, 0.40), (2, 1, 0.55, 0.47), (3, 0, 0.5, 0.5)], "cell int, fold int, raw double, recon double")
-    d = F.col("raw") - F.col("recon")
-    return f.groupBy("cell").agg(F.round(F.avg("raw"), 6).alias("raw_mean"), F.round(F.avg("recon"), 6).alias("recon_mean"), F.round(F.avg(d), 6).alias("delta_mean"), F.round(F.coalesce(F.stddev_samp(d), F.lit(0.0)), 6).alias("delta_sd"))
+    return T.paired_scores(f, ["cell"]).select("cell", r6("raw_mean"), r6("recon_mean"), r6("delta_mean"), r6("delta_sd"))
+
+
+_FOLDS = _VQ + f""", lb AS (SELECT sa.*, px.label FROM sa JOIN px USING (row, col)),
+folds AS (SELECT grp, ntile(4) OVER (ORDER BY (grp * 7919 + 42) % 104729, grp) - 1 AS fold FROM (SELECT DISTINCT tr * 1000 + tc AS grp FROM lb)),
+r AS (SELECT label, fold, row, col, 'raw' AS kind, v AS x FROM lb JOIN folds ON grp = tr * 1000 + tc UNION ALL SELECT label, fold, row, col, 'recon', c FROM lb JOIN folds ON grp = tr * 1000 + tc),
+mu AS (SELECT f, kind, label, list(m ORDER BY d) AS c FROM (SELECT f, kind, label, d, avg(x[d]) AS m FROM r, range(4) t(f), range(1, 65) g(d) WHERE fold <> f GROUP BY ALL) GROUP BY ALL),
+pred AS (SELECT r.kind, r.fold AS f, r.label, mu.label AS guess FROM r JOIN mu ON mu.f = r.fold AND mu.kind = r.kind QUALIFY row_number() OVER (PARTITION BY r.kind, row, col ORDER BY list_distance(x, c), mu.label) = 1),
+hit AS (SELECT kind, f, label, count(*) AS t, sum((label = guess)::INT) AS hit FROM pred GROUP BY ALL), said AS (SELECT kind, f, guess, count(*) AS s FROM pred GROUP BY ALL),
+scr AS (SELECT hit.kind, hit.f, avg(2.0::DOUBLE * hit / (t + coalesce(s, 0))) AS f1 FROM hit LEFT JOIN said ON (said.kind, said.f, said.guess) = (hit.kind, hit.f, hit.label) GROUP BY ALL),
+both_ AS (SELECT f, any_value(f1) FILTER (kind = 'raw') AS raw, any_value(f1) FILTER (kind = 'recon') AS recon FROM scr GROUP BY f)"""
+
+
+@query(_FOLDS + " SELECT round(avg(raw), 6) AS raw_mean, round(coalesce(stddev_samp(raw), 0), 6) AS raw_sd, round(avg(recon), 6) AS recon_mean, round(coalesce(stddev_samp(recon), 0), 6) AS recon_sd, round(avg(raw - recon), 6) AS delta_mean, round(coalesce(stddev_samp(raw - recon), 0), 6) AS delta_sd, count(*) AS n_folds FROM both_")
+def fold_scores(spark, sf):
+    """Raw against rebuilt vectors: a nearest-mean classifier over four folds of whole tiles, paired by fold."""
+    labels = px(spark, sf).select("row", "col", F.col("label").cast("long").alias("label"))
+    done = vq4(spark, sf).join(labels, ["row", "col"]).withColumn("grp", F.expr("tile_row * 1000 + tile_col"))
+    rows = done.join(F.broadcast(G.group_kfold(done, "grp", 4, 42)), "grp")
+    rows = rows.select("label", "fold", F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("vec").alias("x")), F.struct(F.lit("recon").alias("kind"), F.col("rec").alias("x")))).alias("k")).select("label", "fold", "k.*")
+    train = rows.withColumn("test", F.explode(F.expr("sequence(0L, 3L)"))).where("fold <> test")
+    means = train.select("test", "kind", "label", F.posexplode("x").alias("d", "v")).groupBy("test", "kind", "label", "d").agg(F.avg("v").alias("m"))
+    # Folds x kinds x classes vectors: parameters of a classifier.
+    means = means.groupBy("test", "kind", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean")).groupBy(F.col("test").alias("fold"), "kind").agg(F.collect_list(F.struct("label", "mean")).alias("means"))
+    near = F.array_min(F.transform("means", lambda m: F.struct(V.distance(F.col("x"), m["mean"]).alias("d"), m["label"].alias("guess"))))["guess"]
+    pred = rows.join(F.broadcast(means), ["fold", "kind"]).select("fold", "kind", "label", near.alias("guess"))
+    scores = _macro_f1(pred, ["fold", "kind"]).groupBy("fold").pivot("kind", ["raw", "recon"]).agg(F.avg("f1"))
+    return T.paired_scores(scores, []).select(*[r6(c) for c in ("raw_mean", "raw_sd", "recon_mean", "recon_sd", "delta_mean", "delta_sd")], "n_folds")
 
 
 _CELLS = [(512, 20, 256, 1.375, 0.211, 0.204), (512, 32, 256, 1.437, 0.205, 0.204), (512, 128, 256, 1.632, 0.210, 0.204), (1024, 20, 256, 1.269, 0.188, 0.204), (1024, 128, 256, 1.505, 0.193, 0.204)]

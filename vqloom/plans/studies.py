@@ -284,3 +284,17 @@ def isotropy_study(points: DataFrame, directions: np.ndarray, key: str, subsampl
     rows = M.direction_normality(sample, directions, M.ep_null_threshold(spark, n, alpha, reps, seed), alpha, "z")
     return {"dimensions": M.dim_stats(good, ratio), "directions": rows, "shares": M.rejection_shares(rows)}
 
+
+
+def paired_scores(folds: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and sample deviation (0 for one fold) of raw and rebuilt scores and of their difference, fold by fold."""
+    d = F.col("raw") - F.col("recon")
+    sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    cols = [c for n, x in (("raw", F.col("raw")), ("recon", F.col("recon")), ("delta", d)) for c in (F.avg(x).alias(f"{n}_mean"), sd(x).alias(f"{n}_sd"))]
+    return folds.groupBy(*by).agg(*cols, F.count("*").alias("n_folds"))
+
+
+def pilot_medians(done: DataFrame) -> DataFrame:
+    """Medians of both errors' medians for each tile size and codebook size."""
+    q = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
+    return done.groupBy("t", "k").agg(q("cos_p50"), q("l2_p50"))

@@ -30,7 +30,7 @@ def read_windows(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
                 try:
                     a = np.load(io.BytesIO(data.as_py()), allow_pickle=False)
                     h, w, c = a.shape
-                except (ValueError, EOFError, OSError):
+                except Exception:  # noqa: BLE001 - whatever a file holds, it may not end the job
                     yield pa.RecordBatch.from_arrays([pa.array([window]), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.float64()))], ["window_id", "row", "col", "vec"])
                     continue
                 flat = a.reshape(-1, c)
@@ -58,9 +58,12 @@ def covered(px: DataFrame, most_missing: float = 0.5) -> DataFrame:
 
 
 def centres(tiles: DataFrame, year: int, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """lon, lat of the year's tiles, inside an inclusive box."""
+    """lon, lat of the year's tiles, inside an inclusive box; none at all is an error."""
     out = tiles.where(F.col("year") == year).select("lon", "lat")
-    return out.where(F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3])) if bbox else out
+    out = out.where(F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3])) if bbox else out
+    if out.isEmpty():
+        raise ValueError(f"no tiles of {year}" + (f" in {bbox}" if bbox else ""))
+    return out
 
 
 def sample_locations(pool: DataFrame, key: str, n: int, seed: int) -> DataFrame:
