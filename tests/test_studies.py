@@ -105,3 +105,12 @@ def test_tables_without_pixels(spark, n):
     assert T.recon_sweep(px, [(4, 2, 3)], 2).count() == 0 and T.index_sweep(px, [(4, 2, 3)], 3, 2).count() == 0
     assert T.window_sweep(px, [4], [2], 2, None).count() == 0
     assert T.rank_study(px, [(4, 2, 3)], 2, None)["tails"].count() == 0
+
+
+def test_pilot(spark):
+    px, arrays = windows(spark, 2)
+    done = T.pilot_sweep(px, [4, 99], [2, 70], 2, 42, (70,), 5)
+    rows = done.collect()
+    assert {(r["t"], r["k"], r["distance"]) for r in rows} == {(t, k, d) for t in (4, 99) for k, d in ((2, "euclidean"), (70, "euclidean"), (70, "cosine"))}
+    assert {r["n_pixels"] for r in rows if r["t"] == 99} == {64}  # one block of the window's side
+    assert T.pilot_medians(done).count() == 6

@@ -643,6 +643,18 @@ def study_tile_rank(spark, sf):
     return _rank(spark, sf)["tile_rank"]
 
 
+_CARVED = f"{_WIN_HOLES}, {tiles_sql(5)}, pick AS (SELECT tr, tc FROM (SELECT DISTINCT row // 5 AS tr, col // 5 AS tc FROM px) QUALIFY row_number() OVER (PARTITION BY tr // 200 ORDER BY ((tr % 200 * 100 + tc) * 7919 + 47) % 104729, tr, tc) <= 3), cv AS (SELECT tl.* FROM tl JOIN pick USING (tr, tc)), un AS (SELECT tr, tc, row, col, [x / CASE WHEN {_DOT('v', 'v')} = 0 THEN 1 ELSE sqrt({_DOT('v', 'v')}) END FOR x IN v] AS v FROM (SELECT tr, tc, row, col, [x * 2 FOR x IN v] AS v FROM cv))"
+_PILOT = [f"round(quantile_cont({c}, {p}), 6) AS {n}_p{round(p * 100)}" for n, c in (("cos", "cosine"), ("l2", "l2")) for p in T.AT]
+
+
+@query(f"WITH {_CARVED}, {kmeans_sql('ya', 'cv', 2)}, {kmeans_sql('yb', 'cv', 4)}, {kmeans_sql('yc', 'un', 4)}, fin AS (SELECT 2::BIGINT AS k, 'euclidean' AS distance, tr, tc, v, c AS rec FROM yaa UNION ALL SELECT 4, 'euclidean', tr, tc, v, c FROM yba UNION ALL SELECT 4, 'cosine', tr, tc, cv.v, c FROM yca JOIN cv USING (tr, tc, row, col)), e AS (SELECT *, {_L2} AS l2, {_COS} AS cosine FROM (SELECT * REPLACE ([x * 2 FOR x IN v] AS v, CASE WHEN distance = 'cosine' THEN rec ELSE [x * 2 FOR x IN rec] END AS rec) FROM fin)) SELECT 'w' || lpad((tr // 200)::VARCHAR, 6, '0') AS window_id, tr % 200 AS tile_row, tc AS tile_col, k, distance, count(*) AS n_pixels, {', '.join(_PILOT)} FROM e GROUP BY k, distance, tr, tc")
+def study_pilot(spark, sf):
+    """Carved tiles of vectors twice as long as unit ones, by both distances."""
+    p = windows(spark, sf, True).withColumn("vec", F.transform("vec", lambda x: x * 2))
+    done = T.pilot_sweep(p, [5], [2, 4], 3, 42, (4,), 2)
+    return done.select("window_id", *G.TILE, "k", "distance", "n_pixels", *[r6(c) for c in done.columns if c[:5] in ("cos_p", "l2_p1", "l2_p5", "l2_p9")])
+
+
 # Splits, scores and fronts
 
 

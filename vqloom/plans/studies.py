@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField
 
 from ..functions import vec as V
 from ..operators import codec as C
@@ -294,7 +294,38 @@ def paired_scores(folds: DataFrame, by: list[str]) -> DataFrame:
     return folds.groupBy(*by).agg(*cols, F.count("*").alias("n_folds"))
 
 
+AT = (0.1, 0.5, 0.9, 0.99)
+
+
+def pilot_sweep(px: DataFrame, ts: list[int], ks: list[int], n: int = 4, seed: int = 42, dual: tuple = (16, 64), n_iter: int = 20) -> DataFrame:
+    """window_id, tile, t, k, distance, n_pixels and the quantiles of both errors of up to n carved tiles of each window and size; codebook sizes in `dual` are tried with cosine distance too."""
+    tiles = None
+    for t in sorted(set(ts)):
+        own = G.carve(px, t, n, seed + t).withColumn("t", F.lit(t).cast("long"))
+        tiles = tiles.unionByName(own) if tiles else own
+    names = [f"{m}_p{round(100 * p)}" for m in ("cos", "l2") for p in AT]
+    fields = [StructField("k", LongType()), StructField("distance", StringType()), StructField("n_pixels", LongType()), *(StructField(c, DoubleType()) for c in names)]
+
+    def kernel(table: pa.Table) -> dict:
+        x = Q.matrix(table.column("vec"))
+        norm = np.sqrt((x * x).sum(axis=1))
+        one = lambda v: np.where(v > 0, v, 1.0)
+        out: dict[str, list] = {f.name: [] for f in fields}
+        for k in ks:
+            for distance in ("euclidean", "cosine") if k in dual else ("euclidean",):
+                c, code = Q.quantise(x, k, distance, n_iter, seed)
+                rec = c[code]
+                cosine = 1 - (x * rec).sum(axis=1) / (one(norm) * one(np.sqrt((rec * rec).sum(axis=1))))
+                l2 = np.sqrt(((x - rec) ** 2).sum(axis=1))
+                for name, v in zip(out, (k, distance, len(x), *np.quantile(cosine, AT), *np.quantile(l2, AT)), strict=True):
+                    out[name].append(v)
+        return {f.name: pa.array(out[f.name], pa.string() if f.name == "distance" else pa.float64() if f.name in names else pa.int64()) for f in fields}
+
+    keyed = tiles.withColumns({c: F.col(c).cast("long") for c in (*G.TILE, "row", "col")} | {"vec": F.col("vec").cast("array<double>")})
+    return Q.by_tile(keyed, kernel, fields, ("t",))
+
+
 def pilot_medians(done: DataFrame) -> DataFrame:
-    """Medians of both errors' medians for each tile size and codebook size."""
+    """Medians over tiles of both errors' medians, for each tile size, codebook size and, where there are two, distance."""
     q = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
-    return done.groupBy("t", "k").agg(q("cos_p50"), q("l2_p50"))
+    return done.groupBy("t", "k", *(c for c in ("distance",) if c in done.columns)).agg(q("cos_p50"), q("l2_p50"))
