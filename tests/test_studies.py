@@ -48,7 +48,9 @@ def test_histograms_over_windows_some_without_tiles(spark):
 
 def test_no_tile_at_all_has_the_default_edge(spark):
     px, _ = windows(spark, 1, empty=("w0",))
-    rows = T.histogram_sweep(px, [(4, 2, 3)], 5, 2, None).collect()
+    long = T.histogram_sweep(px, [(4, 2, 3)], 5, 2, None)
+    assert T.first_bins(long).count() == 1
+    rows = long.collect()
     assert len(rows) == 5 and max(r["bin_high"] for r in rows) == 30 and all(r["mean_density"] == 0 for r in rows)
 
 

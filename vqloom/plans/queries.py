@@ -587,10 +587,12 @@ _SELECTED = _study_sql("tl", _LARGE, _PICK)
 _STAT = ["rel_mean", "rel_p50", "rel_p90", "rel_p99", "r2"]
 
 
-@query(_SELECTED + f""", ex AS (SELECT t, k1, k2, tr, {_L2} / CASE WHEN {_DOT("v", "v")} = 0 THEN 1 ELSE sqrt({_DOT("v", "v")}) END AS rel, {_L2} * {_L2} AS ss FROM en),
+_PER_TILE = f""", ex AS (SELECT t, k1, k2, tr, {_L2} / CASE WHEN {_DOT("v", "v")} = 0 THEN 1 ELSE sqrt({_DOT("v", "v")}) END AS rel, {_L2} * {_L2} AS ss FROM en),
 tot AS (SELECT t, k1, k2, tr, sum(s) AS tot FROM (SELECT t, k1, k2, tr, d, var_pop(v[d]) * count(*) AS s FROM en, range(1, 65) g(d) GROUP BY ALL) GROUP BY ALL),
-me AS (SELECT t, k1, k2, tr, avg(rel) AS rel_mean, quantile_cont(rel, 0.5) AS rel_p50, quantile_cont(rel, 0.9) AS rel_p90, quantile_cont(rel, 0.99) AS rel_p99, CASE WHEN any_value(tot) > 0 THEN 1 - sum(ss) / any_value(tot) ELSE 0 END AS r2, count(*) AS n_px FROM ex JOIN tot USING (t, k1, k2, tr) GROUP BY t, k1, k2, tr)
-SELECT t, k1, k2, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_sd' for c in _STAT)}, count(*) AS n_tiles, sum(n_px)::BIGINT AS n_px FROM me GROUP BY ALL""")
+me AS (SELECT t, k1, k2, tr, avg(rel) AS rel_mean, quantile_cont(rel, 0.5) AS rel_p50, quantile_cont(rel, 0.9) AS rel_p90, quantile_cont(rel, 0.99) AS rel_p99, CASE WHEN any_value(tot) > 0 THEN 1 - sum(ss) / any_value(tot) ELSE 0 END AS r2, count(*) AS n_px FROM ex JOIN tot USING (t, k1, k2, tr) GROUP BY t, k1, k2, tr)"""
+
+
+@query(_SELECTED + _PER_TILE + f""" SELECT t, k1, k2, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_sd' for c in _STAT)}, count(*) AS n_tiles, sum(n_px)::BIGINT AS n_px FROM me GROUP BY ALL""")
 def study_reconstruction(spark, sf):
     done = T.recon_sweep(windows(spark, sf, True), _LARGE, 2)
     return done.select(*T.CELL, *[r6(f"{c}_{x}") for c in _STAT for x in ("mean", "sd")], "n_tiles", "n_px")
@@ -607,15 +609,24 @@ def _totals_sql() -> str:
         mean = lambda plane, o: f"(SELECT avg(rle) FROM {plane}{n}ib WHERE ordering = '{o}')"  # noqa: B023, E731
         cells.append(f"SELECT {t}::BIGINT AS t, {k1}::BIGINT AS k1, {k2}::BIGINT AS k2, (SELECT count(*) FROM f{n}ib WHERE ordering = 'row') AS n_tiles, {mean('f', 'row')} AS idx1_row_bytes, {mean('f', 'morton')} AS idx1_morton_bytes, {mean('f', 'hilbert')} AS idx1_hilbert_bytes, 1.0::DOUBLE AS idx1_raw_bytes, 1.0::DOUBLE AS idx2_raw_bytes, {mean('g', 'hilbert')} AS idx2_hilbert_bytes")
     head = _SELECTED + ", " + ", ".join(parts) + f", ce AS ({' UNION ALL '.join(cells)}), c2 AS (SELECT *, (k1 + k2) * 64 / (t * t)::DOUBLE AS codebook_Bpx, least(idx1_row_bytes, idx1_morton_bytes, idx1_hilbert_bytes) AS idx1_best_bytes FROM ce), c3 AS (SELECT *, codebook_Bpx + idx1_raw_bytes + idx2_raw_bytes AS total_packed_Bpx, codebook_Bpx + idx1_best_bytes + idx2_raw_bytes AS total_compressed_Bpx FROM c2), c4 AS (SELECT *, 256 / total_compressed_Bpx AS x_fp32_compressed, 64 / total_compressed_Bpx AS x_int8_compressed FROM c3)"
-    return head + f" SELECT t, k1, k2, n_tiles, {', '.join(f'round({c}, 6) AS {c}' for c in _TOTALS)} FROM c4 WHERE n_tiles > 0"
+    return head
 
 
-@query(_totals_sql())
+@query(_totals_sql() + f" SELECT t, k1, k2, n_tiles, {', '.join(f'round({c}, 6) AS {c}' for c in _TOTALS)} FROM c4 WHERE n_tiles > 0")
 def study_index(spark, sf):
     done = T.index_sweep(windows(spark, sf, True), _LARGE, 64, 2)
     return done.select(*T.CELL, "n_tiles", *[r6(c) for c in _TOTALS])
 
 
+@query(_totals_sql() + _PER_TILE + ", pc AS (SELECT c4.t, c4.k1, c4.k2, total_compressed_Bpx AS bytes, r2 FROM c4 JOIN (SELECT t, k1, k2, avg(r2) AS r2 FROM me GROUP BY ALL) USING (t, k1, k2)) SELECT t, k1, k2, round(bytes, 6) AS bytes, round(r2, 6) AS r2, NOT EXISTS (SELECT 1 FROM pc o WHERE o.bytes <= pc.bytes AND o.r2 >= pc.r2 AND (o.bytes < pc.bytes OR o.r2 > pc.r2)) AS on_front FROM pc")
+def study_pareto(spark, sf):
+    """Bytes a pixel against variance explained, from both studies over the same tiles."""
+    p = windows(spark, sf, True)
+    size = T.index_sweep(p, _LARGE, 64, 2).select(*T.CELL, F.col("total_compressed_Bpx").alias("bytes"))
+    score = T.recon_sweep(p, _LARGE, 2).select(*T.CELL, F.col("r2_mean").alias("r2"))
+    return T.pareto(size.join(score, T.CELL), "bytes", "r2").select(*T.CELL, r6("bytes"), r6("r2"), "on_front")
+
+
 def _rank(spark, sf):
     return T.rank_study(windows(spark, sf, True), _STUDY, 2, None)
 
@@ -767,9 +778,7 @@ def pareto_join(spark, sf):
 
 @query(f"WITH {_CELLS_SQL} SELECT t, k1, k2 FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.bytes <= c.bytes AND o.retention >= c.retention AND (o.bytes < c.bytes OR o.retention > c.retention))")
 def pareto_front(spark, sf):
-    c = _cells(spark)
-    o = F.broadcast(c.select(F.col("bytes").alias("b"), F.col("retention").alias("r")))
-    return c.join(o, (F.col("b") <= F.col("bytes")) & (F.col("r") >= F.col("retention")) & ((F.col("b") < F.col("bytes")) | (F.col("r") > F.col("retention"))), "left_anti").select("t", "k1", "k2")
+    return T.pareto(_cells(spark), "bytes", "retention").where("on_front").select("t", "k1", "k2")
 
 
 # Service

@@ -329,3 +329,11 @@ def pilot_medians(done: DataFrame) -> DataFrame:
     """Medians over tiles of both errors' medians, for each tile size, codebook size and, where there are two, distance."""
     q = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
     return done.groupBy("t", "k", *(c for c in ("distance",) if c in done.columns)).agg(q("cos_p50"), q("l2_p50"))
+
+
+def pareto(cells: DataFrame, cost: str, score: str) -> DataFrame:
+    """`cells`, a table of parameters and results, with `on_front`: no other cell is as good in both and better in one."""
+    rival = F.broadcast(cells.select(F.col(cost).alias("_c"), F.col(score).alias("_s")))
+    beaten = (F.col("_c") <= F.col(cost)) & (F.col("_s") >= F.col(score)) & ((F.col("_c") < F.col(cost)) | (F.col("_s") > F.col(score)))
+    front = cells.join(rival, beaten, "left_anti").withColumn("on_front", F.lit(True))
+    return front.unionByName(cells.join(rival, beaten, "left_semi").withColumn("on_front", F.lit(False)))
