@@ -50,7 +50,7 @@ LONGEST = 200
 SIGNATURE, CLUSTERS = 8, 8
 ROUNDS, BATCH, RATE = 2, 8192, 0.5
 LIMIT = 20.0
-BLOCKS = 16
+BLOCKS, FAN = 16, 64
 #: Training tokens of a task, and tokens that are put together before they are worked on.
 TASK, HELD = 4_000_000, 1 << 16
 FLUSH = 200_000
@@ -158,19 +158,19 @@ def gathered(cells, held: int = HELD):
 
 
 def add_up(rows: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """Sums of 32-bit arrays by block, from rows (block, salt, data); in two levels, so that no task meets those of all others."""
+    """Sums of 32-bit arrays by block, from rows (block, salt: the sender, data); level by level, FAN senders at a time, so that no task meets more."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.float64)
         for x in pdf["data"]:
             total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": [0], "data": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
 
-    kind = "block int, salt int, data binary"
-    salts = math.isqrt(max(1, tasks)) + 1
-    salted = rows.withColumn("salt", F.col("salt") % salts)
-    done = salted.groupBy("block", "salt").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind).collect()
-    return {r["block"]: np.frombuffer(r["data"], np.float32) for r in done}
+    while True:
+        tasks = -(-tasks // FAN)
+        rows = rows.withColumn("salt", F.col("salt") % tasks).groupBy("block", "salt").applyInPandas(add, "block int, salt int, data binary")
+        if tasks <= 1:
+            return {r["block"]: np.frombuffer(r["data"], np.float32) for r in rows.collect()}
 
 
 def _task() -> int:
