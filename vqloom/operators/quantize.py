@@ -40,12 +40,15 @@ def assign(x: np.ndarray, centres: np.ndarray, rows: int = ROWS) -> np.ndarray:
         part = x[lo : lo + rows]
         y = (part - shift).astype(np.float32)
         far = half - y @ c32
+        every = np.arange(len(y))
         own = far.argmin(axis=1)
-        error = 4e-7 * np.sqrt(x.shape[1]) * most * (np.sqrt((y * y).sum(axis=1)) + most) + 1e-30
-        near = far <= (far[np.arange(len(y)), own] + error)[:, None]
-        tied = np.flatnonzero(np.count_nonzero(near, axis=1) > 1)
+        best = far[every, own]
+        far[every, own] = np.inf
+        error = 4e-7 * np.sqrt(x.shape[1]) * most * (np.sqrt(np.einsum("ij,ij->i", y, y)) + most) + 1e-30
+        tied = np.flatnonzero(far.min(axis=1) <= best + error)
         if len(tied):
-            at, which = np.nonzero(near[tied])
+            far[every, own] = best
+            at, which = np.nonzero(far[tied] <= (best + error)[tied, None])
             d = np.sqrt(((part[tied[at]] - centres[which]) ** 2).sum(axis=1))
             order = np.lexsort((which, d, at))
             first = order[np.concatenate([[True], np.diff(at[order]) > 0])]
