@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, spread_join, stored, whole_text
+from .common import fits, sized, spread_join, stored, whole_text
 
 SHINGLE, BOUND, PIVOTS = 3, 2, 16
 CHUNK = 1 << 15
@@ -113,15 +113,16 @@ def crowded(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bound: int = BOUND) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints `fp`, a > b, within 2 bits; enough of them to connect all that are."""
-    keys = stored(keyed(fps), "keys")
+    """Pairs (a, b) of distinct fingerprints `fp` (a stored table), a > b, within 2 bits; enough of them to connect all that are."""
+    keys = keyed(fps)
     sizes = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("*", F.col("n").alias("weight")), "key-sizes")
     met = stored(spread_join(keys, sizes, ["band", "key"], "weight", FEW, hot=HOT), "members")
-    few = survivors(groups(met.where(F.col("n") <= CROWD)), bound)
-    many = crowded(stored(met.where(F.col("n") > CROWD).select("fp").distinct(), "crowds"))
-    tables = many.select("a", "b", pivot_table(F.col("a")).alias("s"), pivot_table(F.col("b")).alias("t"))
-    near = tables.where(F.array_max(F.zip_with("s", "t", lambda x, y: F.abs(x - y))) <= bound).select("a", "b")
-    return few.unionByName(near).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bound).distinct()
+    pairs = survivors(groups(met.where(F.col("n") <= CROWD)), bound)
+    if not met.where(F.col("n") > CROWD).isEmpty():
+        many = crowded(stored(met.where(F.col("n") > CROWD).select("fp").distinct(), "crowds"))
+        tables = many.select("a", "b", pivot_table(F.col("a")).alias("s"), pivot_table(F.col("b")).alias("t"))
+        pairs = pairs.unionByName(tables.where(F.array_max(F.zip_with("s", "t", lambda x, y: F.abs(x - y))) <= bound).select("a", "b"))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bound).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -154,10 +155,15 @@ def near_dup_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stored(with_fingerprint(own.withColumn("text_hash", F.xxhash64(whole_text())), "text").select("doc_id", "text_hash", "fp"), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = stored(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight")), "named")
-    whole = stored(spread_join(rooted, named, ["root"], "weight", FEW, hot=HOT).select("fp", "n", "root", "component_id"), "components")
+    roots = stored(components(links(classes.select("fp"))), "roots")
+    linked = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    if fits(roots, FEW):
+        parts = linked.join(named, "root")
+    else:
+        parts = spread_join(stored(linked, "linked"), stored(named, "named"), ["root"], "weight", FEW, hot=HOT)
+    whole = classes.join(parts.select("fp", "root", "component_id"), "fp", "left")
+    whole = stored(whole.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "components")
     return spread_join(marked, whole, ["fp"], "n", FEW, hot=HOT).select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
