@@ -1,4 +1,7 @@
-"""Vector columns (array<double>) as expressions, and the bit functions of scan orders."""
+"""Vector columns (array<double>) as expressions, and the bit functions of scan orders.
+
+Arithmetic on a null vector, or on vectors of unequal lengths, is null; only `finite` and `has_nan` answer for them.
+"""
 
 from __future__ import annotations
 

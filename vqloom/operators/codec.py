@@ -1,4 +1,7 @@
-"""Index-map codecs: runs, their byte model, and the roll-up over tiles."""
+"""Index-map codecs: scan orders, runs, their byte model, and the roll-up over tiles.
+
+A null value is a symbol like any other, so nulls make runs; a table without rows has no runs. Places within a group must differ.
+"""
 
 from __future__ import annotations
 

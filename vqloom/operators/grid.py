@@ -1,4 +1,8 @@
-"""Pixel tables: one row per pixel (window_id, row, col, vec); tiling, gates and choices by a seeded order."""
+"""Pixel tables: one row per pixel (window_id, row, col, vec); tiling, gates and choices by a seeded order.
+
+A pixel without a vector, or with a component that is null or NaN, is a missing one. Empty tables give empty results. Ties in a seeded
+order fall to the smaller key, ties between tiles to the greater row, then column.
+"""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .grid import TILE, tile_keys
+from .grid import tile_keys
 from .quantize import VECTOR, _long, by_tile, dequantise, lists, matrix, quantise_uint8, two_stages
 
 #: The payload's format.
@@ -96,6 +96,3 @@ def sizes(payload: DataFrame) -> DataFrame:
     """keys and the bytes of codebooks and index planes."""
     own = lambda *names: sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(0)).cast("long")
     return payload.select(*tile_keys(payload), own("codebook1", "lo1", "hi1", "codebook2", "lo2", "hi2").alias("codebook_bytes"), own("indices1", "indices2").alias("index_bytes"))
-
-
-__all__ = ["FORMAT", "TILE", "codebooks", "pack", "sizes", "unpack"]
