@@ -320,26 +320,35 @@ def feature_rows(features: int, one: np.ndarray, two: np.ndarray, last: np.ndarr
 
 def logits(weights: np.ndarray, rows: np.ndarray, shut: np.ndarray) -> np.ndarray:
     """Sums of bounded weights (LIMIT each), so that no exponential overflows."""
-    z = weights[rows[0]]
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += shut
     return z
 
 
 def step(weights: np.ndarray, scale: np.ndarray, met: np.ndarray, rows: np.ndarray, shut: np.ndarray, target: np.ndarray) -> None:
     """One sparse Adagrad step in place: only rows of features that occur are touched, and `met` counts their tokens."""
-    g = np.exp(logits(weights, rows, shut))
+    g = logits(weights, rows, shut)
+    np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(target)), target] -= 1
+    new = np.empty(len(target), bool)
+    new[0] = True
     for f in rows:
-        order = np.argsort(f, kind="stable")
-        ordered = f[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        at, total = ordered[starts], np.add.reduceat(g[order], starts, axis=0)
-        met[at] += np.diff([*starts, len(f)])
-        scale[at] += np.einsum("ij,ij->i", total, total)
-        weights[at] = np.clip(weights[at] - RATE * total / np.sqrt(scale[at] + 1.0)[:, None], -LIMIT, LIMIT)
+        order = f.argsort(kind="stable")
+        ordered = f.take(order)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        starts = np.flatnonzero(new)
+        at, total = ordered.take(starts).astype(np.intp), np.add.reduceat(g.take(order, axis=0), starts, axis=0)
+        met[at] += np.diff(starts, append=len(f))
+        size = scale.take(at) + np.einsum("ij,ij->i", total, total)
+        scale[at] = size
+        total *= (RATE / np.sqrt(size + 1.0))[:, None]
+        moved = weights.take(at, axis=0)
+        moved -= total
+        np.clip(moved, -LIMIT, LIMIT, out=moved)
+        weights[at] = moved
 
 
 def train_round(texts: DataFrame, model: Model, vocabulary: Vocabulary, tasks: int) -> None:
