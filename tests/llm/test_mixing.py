@@ -103,3 +103,12 @@ def test_too_many_patterns_are_an_error(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
     with pytest.raises(ValueError):
         mixing.op9_mixing(docs)
+
+
+def test_rows_of_the_driver_start_no_python_workers(spark, monkeypatch):
+    docs = documents(spark).cache()
+    docs.count()
+    want = sorted(map(str, mixing.op9_mixing(docs).collect()))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("a list of rows went through Python workers"))
+    assert sorted(map(str, mixing.op9_mixing(docs).collect())) == want and mixing.mixed(docs).count()
+    docs.unpersist()

@@ -99,3 +99,15 @@ def test_models_that_need_more_are_refused(tmp_path, kind):
     (tmp_path / "m.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         S.Codec(str(tmp_path / "m.model"))
+
+
+def test_a_workers_table_stays_within_its_bound():
+    """Distinct words beyond the bound, words that come back and very long ones; ids and spans stay those of the whole encoding."""
+    own, r = S.Codec(piece_model(), 500), random.Random(5)
+    for i in range(300):
+        text = " ".join(["the", "common"] + ["".join(r.choices("abcdefghij", k=r.randint(1, 9))) for _ in range(20)] + ["x" * 5000 + str(i)] * (i % 50 == 0))
+        if i % 10 == 0:
+            assert [list(x) for x in own.spans(text)] == [list(x) for x in own.encode(text)]
+        own.spans(text)
+        assert len(own.kept) + len(own.old) <= 500 and max(map(len, own.kept)) <= S.LONG
+    assert {S.MARK + "the", S.MARK + "common"} <= own.kept.keys() | own.old.keys()

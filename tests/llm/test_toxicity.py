@@ -109,3 +109,15 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
         toxicity.train(docs, labels, most=most)
     sizes = [sum(4 * (len(s) + 1) for bag, _ in bags for s in bag) for bags in seen]
     assert len(seen[0]) > 400 and 0 < len(seen[1]) < len(seen[0]) and sizes[1] <= 20_000 and not seen[2]
+
+
+def test_a_workers_words_stay_within_their_bound(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(1, 9))) for _ in range(3000)]
+    model = toxicity.Model(-9.0, {i: 4.0 for w in words[::7] for i in toxicity.features(w)})
+    texts = [" ".join(words[i : i + 30]) + ". " + "y" * 5000 + " " + words[0] for i in range(0, 3000, 20)]
+    want = [toxicity.Scorer(model)(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHE", 200)
+    own = toxicity.Scorer(model)
+    for text, score in zip(texts, want, strict=True):
+        assert own(text) == score and len(own.known) + len(own.old) <= 200 and max(map(len, own.known)) <= toxicity.LONG

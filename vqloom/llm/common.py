@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: The white space of every word rule: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -60,6 +62,21 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows. They travel as Arrow data: from a list of rows, Spark starts Python workers of another kind in every executor."""
+    kinds = StructType.fromDDL(schema)
+    own = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(own)], schema=own), kinds)
+
+
+def aged(young: dict, old: dict, most: int) -> None:
+    """Makes room in a bounded table of two ages, `most` entries in all: the young ones become the old ones once they are half of that."""
+    if len(young) >= most // 2:
+        old.clear()
+        old.update(young)
+        young.clear()
+
+
 def _bytes(df: DataFrame) -> Column:
     """Bytes of a row: 16 for each column, besides the content of strings and arrays."""
     out = F.lit(16 * len(df.columns)).cast("long")

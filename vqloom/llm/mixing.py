@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import cut, local_rows, whole_text
 
 REPEATS = 3
 WEIGHTS = (5, 2, 1)
@@ -158,10 +158,10 @@ def _edges(thin: DataFrame, rests: DataFrame) -> list[tuple]:
         coarse = [tuple(r) for r in _passed(histogram, high).select("pat", "at", "left").collect()]
         if not coarse:
             return []
-        upper = F.broadcast(spark.createDataFrame(coarse, "pat int, at long, left long"))
+        upper = F.broadcast(local_rows(spark, coarse, "pat int, at long, left long"))
         within = histogram.drop("left").join(upper, "pat").where(high == F.col("at"))
         rows = [tuple(r) for r in _passed(within.select("pat", "bucket", "size", "left"), F.col("bucket")).select("pat", "left", "at", "size").collect()]
-        bounds = spark.createDataFrame([r[:3] for r in rows], "pat int, left long, prefix long")
+        bounds = local_rows(spark, [r[:3] for r in rows], "pat int, left long, prefix long")
     return [(pat, edge, left, size) for pat, left, edge, size in rows]
 
 
@@ -203,9 +203,9 @@ def solve(thin: DataFrame, weights: tuple = WEIGHTS) -> DataFrame | None:
         out = min(round(sum(flow.values())), REPEATS * n)
         passes = out // n if n else 0
         plan.append((list(own), i, passes, out - passes * n, sizes[place[own[0]]] if own else 0, goal[place[own[0]]] if own else 0.0))
-    table = spark.createDataFrame(plan, "sources array<string>, pat int, passes long, rest long, source_size long, target double").withColumn("mark", _mark("sources")).drop("sources")
+    table = local_rows(spark, plan, "sources array<string>, pat int, passes long, rest long, source_size long, target double").withColumn("mark", _mark("sources")).drop("sources")
     known = thin.select(_mark("_vq_sources").alias("mark"), F.col("_vq_size").alias("size"), F.col("_vq_u").alias("u")).join(F.broadcast(table.select("mark", "pat")), "mark").select("pat", "size", "u")
-    edges = spark.createDataFrame(_edges(known, table.select("pat", "rest")), "pat int, edge long, part long, tied long")
+    edges = local_rows(spark, _edges(known, table.select("pat", "rest")), "pat int, edge long, part long, tied long")
     return table.drop("rest").join(F.broadcast(edges), "pat", "left")
 
 

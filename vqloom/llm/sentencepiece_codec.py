@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import whole_text
+from .common import aged, whole_text
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CACHE = 200_000
+#: Chunks of at most LONG characters that are kept with their encodings, and those of them in a pipeline, whose workers hold other stages' tables too.
+CACHE, FEWER, LONG = 200_000, 50_000, 64
 #: Up to this length a list of all neighbours is faster than a heap.
 SHORT = 64
 
@@ -68,7 +69,7 @@ class CharMap:
 class Codec:
     """One model: normalise, encode with spans, decode."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -95,7 +96,9 @@ class Codec:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         self.simple = not self.map.units and not self.trim and self.prefix and self.escape and not inner
         self.chunks = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
+        self.most = most
         self.kept: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
         self.entry: dict[str, tuple] = {}
 
         def plain(piece: str, kind: int) -> bytes:
@@ -213,15 +216,16 @@ class Codec:
 
     def _chunk(self, chunk: str) -> tuple[str, int, bytes, bytes]:
         """Ids as text, their number, the decoded bytes of a chunk and the packed source lengths of its ids."""
-        if len(self.kept) > CACHE:
-            self.kept.clear()
         get, make = self.entry.get, self._entry
-        found = [get(p) or make(p) for p in self.merge(chunk)]
-        if len(found) == 1:
+        if (out := self.old.get(chunk)) is not None:
+            pass
+        elif len(found := [get(p) or make(p) for p in self.merge(chunk)]) == 1:
             out = found[0]
         else:
             out = ",".join([e[0] for e in found]), sum([e[1] for e in found]), b"".join([e[2] for e in found]), b"".join([e[3] for e in found])
-        self.kept[chunk] = out
+        if len(chunk) <= LONG:
+            aged(self.kept, self.old, self.most)
+            self.kept[chunk] = out
         return out
 
     def _entry(self, piece: str) -> tuple[str, int, bytes, bytes]:
@@ -292,9 +296,9 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
+def codec(path: str, most: int = CACHE) -> Codec:
     """One codec for each model in a process."""
-    return Codec(path)
+    return Codec(path, most)
 
 
 def with_pieces(df: DataFrame, path: str, text: str = "text", into: str = "pieces") -> DataFrame:
@@ -344,7 +348,7 @@ def encoded(docs: DataFrame, path: str, rows: int = 256) -> DataFrame:
     out = StructType([docs.schema[c] for c in keys] + [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())] + [StructField(c, ArrayType(IntegerType())) for c in ("begins", "ends")])
 
     def run(batches):
-        own = codec(path)
+        own = codec(path, FEWER)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)

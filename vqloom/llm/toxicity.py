@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, stored, whole_text
+from .common import aged, fold_bucket, stored, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,7 +31,8 @@ BEGINNINGS = (3, 5, 7)
 #: A label sample of this many documents, and bytes of packed features, at most fits the weights; everything is scored.
 TRAIN_CAP = 8000
 TRAIN_BYTES = 256 << 20
-CACHE = 150_000
+#: Words of at most LONG letters that a worker keeps with their weights.
+CACHE, LONG = 60_000, 64
 #: The bias stays above this; features with log odds over SURE of being in toxic documents only are drawn to a weight that outweighs it.
 LOWEST, SURE = -9.0, 3.0
 
@@ -131,12 +132,15 @@ class Scorer:
     """Scores texts in one Python worker; words are hashed once and kept in a bounded table."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.old = model, {}, {}
 
     def weight(self, word: str) -> tuple[tuple[int, float], ...]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        w = self.known[word] = tuple((i, self.model.weights[i]) for i in sorted(features(word)) if i in self.model.weights)
+        w = self.old.get(word)
+        if w is None:
+            w = tuple((i, self.model.weights[i]) for i in sorted(features(word)) if i in self.model.weights)
+        if len(word) <= LONG:
+            aged(self.known, self.old, CACHE)
+            self.known[word] = w
         return w
 
     def __call__(self, text: str, threshold: float = 0.5) -> tuple[float, str]:
