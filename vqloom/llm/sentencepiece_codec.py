@@ -30,7 +30,7 @@ from .common import aged, whole_text
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 #: Chunks of at most LONG characters that are kept with their encodings, and those of them in a pipeline, whose workers hold other stages' tables too.
-CACHE, FEWER, LONG = 200_000, 50_000, 64
+CACHE, FEWER, LONG = 400_000, 50_000, 64
 #: Up to this length a list of all neighbours is faster than a heap.
 SHORT = 64
 
