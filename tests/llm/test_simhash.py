@@ -77,6 +77,37 @@ def test_links_and_chains_match_brute_force(spark, monkeypatch, crowd, few, hot)
     assert all(len(v) == 1 for v in ours.values()) and len(ours) == len(set(group.values()))
 
 
+def edited(seed, bases=6, edits=4):
+    """Long texts and copies of them with a few words changed: their fingerprints are apart by few bits."""
+    r = random.Random(seed)
+    texts = []
+    for _ in range(bases):
+        words = [f"w{r.randrange(5000)}" for _ in range(1500)]
+        for _ in range(edits):
+            texts.append(" ".join(words))
+            words[r.randrange(1500)] = "other"
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("few,hot", [(300_000, 1000), (0, 50)])
+def test_the_least_fingerprint_of_a_component_shares_its_id(spark, monkeypatch, few, hot):
+    for name, value in (("FEW", few), ("HOT", hot)):
+        monkeypatch.setattr(simhash, name, value)
+    texts = edited(6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    fps = [slow_fingerprint(t) for t in texts]
+    want = slow_components(list(enumerate(fps)))
+    groups = {}
+    for doc, _, least in want:
+        groups.setdefault(least, set()).add(signed(fps[doc]))
+    owners = [signed(fps[least]) == min(g) for least, g in groups.items() if len(g) > 1]
+    assert any(owners) and not all(owners)  # the least id is that of the least fingerprint in some components only
+    assert sorted(map(tuple, simhash.op6_simhash(docs).collect()), key=str) == want
+    pairs = simhash.links(spark.createDataFrame([(x,) for x in {signed(f) for f in fps}], "fp long"))
+    assert {p["node"] for p in simhash.components(pairs).collect()} == {x for p in pairs.collect() for x in p}
+
+
 def test_pivots_discard_most_candidates_and_no_link(spark):
     """Fingerprints that share 32 bits and differ at random in the others: only the pivot tables keep them apart."""
     r = random.Random(3)

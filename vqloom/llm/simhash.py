@@ -146,7 +146,8 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = stored(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+            ends = edges.unionByName(edges.select(F.col("b").alias("a"), "b"))  # no edge starts at a root
+            return ends.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
         state, size = now, now[0]
 
 
